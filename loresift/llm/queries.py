@@ -5,14 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loresift.llm import toxicity
 from loresift.llm.common import table
 from loresift.llm.near_dedup import near_duplicates
 
 
+def crc_fold(column: str, folds: int):
+    """crc32 of the column as text, modulo ``folds``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels.where(crc_fold("doc_id", 4) != 2)))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, num=80, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {
+        "op5_toxicity": op5_toxicity,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    }
