@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from loresift.llm import mixing
+
 OP10 = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws
@@ -20,5 +22,37 @@ from s join r on r.node = s.doc_id group by s.doc_id, len(s.sh)
 """
 
 
+def _unit(column: str) -> str:
+    return f"(('0x' || substr(md5(coalesce({column}::varchar, '')), 1, 12))::bigint::double / {float(1 << 48)})"
+
+
+def mixing_cells(documents: str) -> str:
+    """CTEs ``mix_docs`` (documents with topic and tokens) and ``mix_prob`` (probability of each cell)."""
+    topics = " ".join(f"when regexp_matches(coalesce(text, ''), '{rule}') then '{name}'" for name, rule in mixing.TOPICS)
+    out = [
+        f"mix_docs as materialized (select doc_id, coalesce(source, '') source, coalesce(lang, '') lang, case {topics} else 'prose' end topic, "
+        f"len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint n_tokens from {documents})",
+        "mix_cells as materialized (select source, lang, topic, sum(n_tokens)::double tokens from mix_docs group by all)",
+    ]
+    for a in mixing.AXES:
+        out.append(f"mix_{a} as materialized (select {a}, pow(sum(tokens), {mixing.TEMPER}::double) / sum(pow(sum(tokens), {mixing.TEMPER}::double)) over () share from mix_cells where tokens > 0 group by {a})")
+    out.append("mix_w0 as (select *, tokens / sum(tokens) over () w from mix_cells where tokens > 0)")
+    k = 0
+    for _ in range(mixing.ROUNDS):
+        for a in mixing.AXES:
+            out.append(f"mix_w{k + 1} as (select p.source, p.lang, p.topic, tokens, w * share / sum(w) over (partition by p.{a}) w from mix_w{k} p join mix_{a} t on p.{a} = t.{a})")
+            k += 1
+    out.append(f"mix_rate as (select source, lang, topic, (w / tokens) / max(w / tokens) over () rate from mix_w{k})")
+    out.append("mix_prob as materialized (select c.source, c.lang, c.topic, round(coalesce(rate, 1), 6) prob from mix_cells c left join mix_rate r on c.source = r.source and c.lang = r.lang and c.topic = r.topic)")
+    return ",\n".join(out)
+
+
+OP8 = f"""
+with {mixing_cells("documents")}
+select d.doc_id, d.source, d.lang, d.topic, d.n_tokens, p.prob, {_unit("d.doc_id")} < p.prob as kept
+from mix_docs d join mix_prob p on d.source = p.source and d.lang = p.lang and d.topic = p.topic
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_minhash_near_dedup": OP10}
+    return {"op8_mixing": OP8, "op10_minhash_near_dedup": OP10}

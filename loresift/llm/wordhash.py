@@ -19,6 +19,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: The same, but ASCII punctuation separates words too.
+PLAIN = _IS_WORD.copy()
+PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = False
 _P = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _pow: np.ndarray = np.ones(1, dtype=np.uint64)
@@ -41,12 +44,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_piece(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_piece(data: np.ndarray, doc_starts: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start positions of the words in ``data``; words don't span ``doc_starts``."""
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    word = _IS_WORD[data]
+    word = is_word[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[doc_starts] = True
     before = np.concatenate(([False], word[:-1])) & ~cut[:-1]
@@ -58,7 +61,7 @@ def _hash_piece(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, n
     return mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)), s
 
 
-def hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed(texts: pa.Array, is_word: np.ndarray = _IS_WORD) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Blocks (first row, row after the last, hashes, offsets of each row's hashes), in row order."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -73,20 +76,20 @@ def hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         last = max(row + 1, int(np.searchsorted(off, off[row] + CHUNK, "right")) - 1)
         lo, hi = int(off[row]), int(off[last])
         if hi - lo <= CHUNK:
-            h, at = _hash_piece(data[lo:hi], off[row:last] - lo)
+            h, at = _hash_piece(data[lo:hi], off[row:last] - lo, is_word)
             yield row, last, h, np.searchsorted(at, off[row : last + 1] - lo)
         else:  # one long text
             parts = []
             while lo < hi:
                 end = min(lo + CHUNK, hi)
                 if end < hi:
-                    gaps = np.flatnonzero(~_IS_WORD[data[lo:end]])
+                    gaps = np.flatnonzero(~is_word[data[lo:end]])
                     if len(gaps):
                         end = lo + int(gaps[-1]) + 1
                     else:  # a word longer than a chunk
-                        more = np.flatnonzero(~_IS_WORD[data[end:hi]])
+                        more = np.flatnonzero(~is_word[data[end:hi]])
                         end = end + int(more[0]) if len(more) else hi
-                parts.append(_hash_piece(data[lo:end], np.zeros(1, np.int64))[0])
+                parts.append(_hash_piece(data[lo:end], np.zeros(1, np.int64), is_word)[0])
                 lo = end
             h = np.concatenate(parts)
             yield row, last, h, np.array([0, len(h)])
