@@ -47,6 +47,16 @@ def mixing_cells(documents: str) -> str:
     return ",\n".join(out)
 
 
+OP4 = r"""
+with t as (select distinct conv_id, coalesce(turn, -1) turn, coalesce(role, '') role, coalesce(text, '') text from conversations where conv_id is not null),
+l as (select conv_id, list({'role': role, 'text': text} order by turn, role, text) ts from t group by conv_id),
+reps as (select min(conv_id) conv_id, ts from l group by ts),
+pre as (select distinct ts[1:k] p from (select ts, unnest(range(1, len(ts))) k from reps))
+select conv_id, len(ts)::bigint n_turns,
+  list_aggregate(list_transform(ts, lambda x: '<|im_start|>' || x.role || chr(10) || replace(x.text, '<|', '< |') || '<|im_end|>' || chr(10)), 'string_agg', '') as text
+from reps where ts not in (select p from pre)
+"""
+
 OP8 = f"""
 with {mixing_cells("documents")}
 select d.doc_id, d.source, d.lang, d.topic, d.n_tokens, p.prob, {_unit("d.doc_id")} < p.prob as kept
@@ -55,4 +65,4 @@ from mix_docs d join mix_prob p on d.source = p.source and d.lang = p.lang and d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8, "op10_minhash_near_dedup": OP10}
+    return {"op4_chat_collapse": OP4, "op8_mixing": OP8, "op10_minhash_near_dedup": OP10}

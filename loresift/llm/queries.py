@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loresift.llm import decontaminate, mixing, toxicity
+from loresift.llm import chat, decontaminate, mixing, toxicity
 from loresift.llm.common import table
 from loresift.llm.near_dedup import near_duplicates
 
@@ -21,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op4_chat_collapse": op4_chat_collapse,
         "op5_toxicity": op5_toxicity,
         "op8_mixing": op8_mixing,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
