@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loresift.llm import chat, decontaminate, mixing, toxicity
+from loresift.llm import chat, decontaminate, mixing, spotsigs, toxicity
 from loresift.llm.common import table
 from loresift.llm.near_dedup import near_duplicates
 
@@ -36,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, num=80, den=100)
 
@@ -46,5 +50,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_collapse": op4_chat_collapse,
         "op5_toxicity": op5_toxicity,
         "op8_mixing": op8_mixing,
+        "op9_spotsigs": op9_spotsigs,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
