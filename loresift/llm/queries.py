@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loresift.llm import chat, decontaminate, mixing, spotsigs, toxicity
+from loresift.llm import chat, decontaminate, line_dedup, mixing, spotsigs, toxicity, warc
 from loresift.llm.common import table
 from loresift.llm.near_dedup import near_duplicates
 
@@ -25,6 +25,14 @@ def op4_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(table(spark, sf_dir, "conversations"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op4_chat_collapse": op4_chat_collapse,
         "op5_toxicity": op5_toxicity,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_warc": op7_warc,
         "op8_mixing": op8_mixing,
         "op9_spotsigs": op9_spotsigs,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
