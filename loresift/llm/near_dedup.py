@@ -32,6 +32,8 @@ from loresift.llm.wordhash import hashed, mix, shingles
 ROWS_PER_BAND = 6
 #: Shingle hashes that one shard of the count holds.
 SHARD = 3_000_000
+#: Classes whose counts are added up at once.
+RANGE = 20_000
 #: Members of a block in step 5.
 BLOCK = 512
 
@@ -60,7 +62,7 @@ def word_classes(docs: DataFrame, size: int) -> DataFrame:
     return need(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
-def _lonely(docs: DataFrame, size: int, shards: int) -> DataFrame:
+def _lonely(docs: DataFrame, size: int, shards: int, ranges: int) -> DataFrame:
     """``(h1, h2, lonely)``: how many of a class's shingles no other class has (two classes of one 32-bit tag count as one)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,20 +113,24 @@ def _lonely(docs: DataFrame, size: int, shards: int) -> DataFrame:
         pick = alone[group] & np.concatenate(([True], (tags[1:] != tags[:-1]) | (low[1:] != low[:-1])))
         n = np.bincount(doc[pick], minlength=len(head))
         some = np.flatnonzero(n)
-        # one class's rows of several blocks can meet here: sum them below
-        parts = head[some]
-        return pa.table({"packed": pa.array([np.concatenate([parts, n[some, None]], axis=1).astype(np.int64).tobytes()], pa.binary())}) if len(some) else pa.table({"packed": pa.array([], pa.binary())})
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0):
-                a = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3)
-                for i in range(0, len(a), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000, j]) for j in range(3)], ["h1", "h2", "n"])
+        # a class's rows of several blocks and shards meet in the class's own range
+        parts = np.concatenate([head[some], n[some, None]], axis=1).astype(np.int64)
+        where = parts[:, 0] % ranges
+        order = np.argsort(where, kind="stable")
+        parts, where = parts[order], where[order]
+        first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else np.empty(0, int)
+        last = np.append(first[1:], len(where))
+        return pa.table({"range": pa.array(where[first], pa.int64()), "packed": pa.array([parts[i:j].tobytes() for i, j in zip(first, last, strict=False)], pa.binary())})
+
+    def add_up(key: tuple, t: pa.Table) -> pa.Table:
+        a = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for x in t.column("packed")])
+        a = a[np.lexsort((a[:, 1], a[:, 0]))]
+        new = np.flatnonzero(np.concatenate(([True], (a[1:, :2] != a[:-1, :2]).any(axis=1))))
+        return pa.table({"h1": a[new, 0], "h2": a[new, 1], "lonely": np.add.reduceat(a[:, 2], new)})
 
     packed = need(docs, ["text"]).mapInArrow(pack, "shard long, ids binary, body binary")
-    counted = packed.groupBy("shard").applyInArrow(count, "packed binary")
-    return counted.mapInArrow(unpack, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("lonely"))
+    counted = packed.groupBy("shard").applyInArrow(count, "range long, packed binary")
+    return counted.groupBy("range").applyInArrow(add_up, "h1 long, h2 long, lonely long")
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -233,12 +239,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     known = docs.where("doc_id is not null")
     rows = cut(word_classes(docs, shingle))
     classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
-    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    lonely = _lonely(known, shingle, max(1, -(-int(total) // SHARD)))
+    total, n_classes = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).first()
+    lonely = _lonely(known, shingle, max(1, -(-int(total) // SHARD)), max(8, -(-n_classes // RANGE)))
     alive = classes.join(lonely, ["h1", "h2"], "left").where(F.coalesce("lonely", F.lit(0)) * den <= (den - num) * F.col("n_shingles")).select(F.col("rep").alias("doc_id"), "h1", "h2")
     alive = cut(alive)
     # a repeated id may carry several texts, which share its links: the class's hash picks the rows
-    texts = known.join(alive.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = known.join(alive.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")  # as many survive as there are copies: no broadcast
     sketches = cut(_sketches(texts, shingle).join(alive, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]))
     buckets = _band_rows(sketches)
     heads = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "a")
