@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: White space of the word rule: words are runs of anything else.
 SPACE = "[\\x20\\x09-\\x0D]"
 #: Rows that Python workers get at once; texts may be long.
-ARROW_ROWS = "1024"
+ARROW_ROWS, ARROW_BYTES = "1024", 16 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -48,6 +48,9 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > int(ARROW_ROWS):
         spark.conf.set(key, ARROW_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "0").rstrip("b") or 0) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def need(df: DataFrame, columns: Sequence[str]) -> DataFrame:

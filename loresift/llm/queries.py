@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loresift.llm import chat, decontaminate, line_dedup, mixing, spotsigs, toxicity, warc
+from loresift.llm import chat, decontaminate, line_dedup, mixing, spotsigs, token_output, toxicity, warc
 from loresift.llm.common import table
 from loresift.llm.near_dedup import near_duplicates
 
@@ -21,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(table(spark, sf_dir, "conversations"))
 
@@ -55,6 +59,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op3_token_output": op3_token_output,
         "op4_chat_collapse": op4_chat_collapse,
         "op5_toxicity": op5_toxicity,
         "op6_line_dedup": op6_line_dedup,
