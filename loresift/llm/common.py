@@ -49,8 +49,8 @@ def small_batches(spark: SparkSession) -> None:
     if int(spark.conf.get(key, "10000")) > int(ARROW_ROWS):
         spark.conf.set(key, ARROW_ROWS)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, "0").rstrip("b") or 0) > ARROW_BYTES:
-        spark.conf.set(key, str(ARROW_BYTES))
+    if int(spark.conf.get(key, f"{ARROW_BYTES}b").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
 
 
 def need(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loresift.llm import chat, decontaminate, line_dedup, mixing, spotsigs, token_output, toxicity, warc
+from loresift.llm import chat, decontaminate, line_dedup, lm, mixing, spotsigs, token_output, toxicity, warc
 from loresift.llm.common import table
 from loresift.llm.near_dedup import near_duplicates
 
@@ -21,6 +21,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda: crc_fold("doc_id", 5) == 1
+    scored = lm.score(table(spark, sf_dir, "documents"), held_out)
+    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"))
 
@@ -59,6 +65,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_token_output": op3_token_output,
         "op4_chat_collapse": op4_chat_collapse,
         "op5_toxicity": op5_toxicity,
