@@ -149,4 +149,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 10
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` without any overlap; rows with a null id stay."""
     hit = overlaps(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)

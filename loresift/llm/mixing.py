@@ -75,13 +75,13 @@ def _rake_wide(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) ->
     return w
 
 
-def calibrated(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> DataFrame:
+def calibrated(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, max_cells: int = MAX_CELLS, power: float = TEMPER) -> DataFrame:
     """``(source, lang, topic, prob)``: the keeping probability of every cell of ``cells(source, lang, topic, tokens)``.
 
     Targets default to tempered shares.  A group missing from given targets gets the share 0; cells without
     tokens have probability 1, as they don't change any share.  The largest probability is 1.
     """
-    spark = session(cells)
+    spark, cells = session(cells), cut(cells)
     if cells.count() > max_cells:
         wide = {}
         for a in AXES:
@@ -89,7 +89,7 @@ def calibrated(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | No
             if targets and a in targets:
                 wide[a] = spark.createDataFrame([(k, float(v)) for k, v in targets[a].items()] or [("", 0.0)], f"{a} string, share double")
             else:
-                power = total.withColumn("p", F.pow(F.col("t").cast("double"), F.lit(TEMPER)))
+                power = total.withColumn("p", F.pow(F.col("t").cast("double"), F.lit(power)))
                 wide[a] = power.crossJoin(F.broadcast(power.agg(F.sum("p").alias("whole")))).select(a, (F.col("p") / F.col("whole")).alias("share"))  # one row
         w = _rake_wide(cells.where("tokens > 0"), wide, rounds).withColumn("rate", F.col("w") / F.col("tokens"))
         top = w.agg(F.max("rate").alias("top"))
@@ -101,7 +101,7 @@ def calibrated(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | No
     for k, a in enumerate(AXES):
         names = sorted({r[k] for r in rows})
         code = np.array([names.index(r[k]) for r in rows], int)
-        share = targets[a] if targets and a in targets else tempered({n: float(tokens[code == i].sum()) for i, n in enumerate(names)})
+        share = targets[a] if targets and a in targets else tempered({n: float(tokens[code == i].sum()) for i, n in enumerate(names)}, power)
         codes.append(code)
         shares.append(np.array([share.get(n, 0.0) for n in names]))
     rate = np.zeros(len(rows))
@@ -119,17 +119,17 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     ``kept`` is decided by a hash of the id, so repeated rows share their fate and a rerun repeats it.
     Null ids count as the empty text; an empty table gives an empty result.
     """
-    rows = described(docs)
+    rows = cut(described(docs))  # small, and read three times
     cells = rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens"))
     prob = calibrated(cells, targets)
     joined = rows.join(prob, list(AXES), "left")
     return joined.select("doc_id", *AXES, "n_tokens", F.round("prob", 6).alias("prob"), (unit_of("doc_id") < F.round("prob", 6)).alias("kept"))
 
 
-def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, power: float = TEMPER) -> DataFrame:
     """The rows of ``docs`` that the calibrated sampling keeps, with their own columns."""
     cells = described(docs).groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens"))
-    prob = calibrated(cells, targets).select(*[F.col(a).alias(f"_mix_{a}") for a in AXES], F.col("prob").alias("_mix_prob"))
+    prob = calibrated(cells, targets, power=power).select(*[F.col(a).alias(f"_mix_{a}") for a in AXES], F.col("prob").alias("_mix_prob"))
     text, same = F.coalesce("text", F.lit("")), []
     keyed = docs.withColumn("_mix_of", topic_of(text))
     for a, c in zip(AXES, (F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("_mix_of")), strict=True):

@@ -273,3 +273,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     out = rows.join(named, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("found")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` but for those that a document of a lower id stands for; rows with a null id stay."""
+    gone = near_duplicates(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -263,3 +263,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t or "") for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     return need(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all of their columns."""
+    small_batches(session(docs))
+    shared = session(docs).sparkContext.broadcast(model)  # bounded by MAX_PATTERNS
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array([scorer.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
