@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loresift.plans import search
+from loresift.plans import activity, evaluation, maintenance, search
 
-_PLANS = (search,)
+_PLANS = (search, evaluation, maintenance, activity)
 
 
 def _wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

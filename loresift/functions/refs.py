@@ -49,7 +49,7 @@ def sql_stable_id(source: str, ref: str) -> str:
 
 def size_label(n: Column) -> Column:
     """Bytes as B, KB or MB."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1024 * 1024, F.concat((n / 1024).cast("bigint").cast("string"), F.lit("KB"))).otherwise(F.concat(F.format_number(n / (1024 * 1024), "0.0"), F.lit("MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1024 * 1024, F.concat((n / 1024).cast("bigint").cast("string"), F.lit("KB"))).otherwise(F.format_string("%.1fMB", n / (1024 * 1024)))
 
 
 def ref_label(ref: Column, lines: Column) -> Column:
