@@ -110,7 +110,7 @@ def _sweep_sql() -> str:
 SQL = {
     "hit_recall_at_k": f"with {_BASE}, {_judged('1, 3, 5, 10')} select k::bigint k, {_AVG} from judged group by k",
     "mrr": f"with {_BASE}, r as (select query, coalesce(1.0::double / min(f), 0) rr from firsts group by query) select count(*) n, round(avg(rr), 6) mrr from r",
-    "ndcg_at_k": f"""with {_BASE}, g as (select query, k, coalesce(sum(1 / log2(f + 1.0::double)) filter (f <= k), 0) dcg, least(count(*), k) m from firsts, (select unnest([1, 3, 5, 10]) k) group by all),
+    "ndcg_at_k": f"""with {_BASE}, g as (select query, k, coalesce(sum(1 / log2(f + 1.0::double)) filter (f <= k), 0) dcg, least(count(*), k) m from firsts, (select unnest([1, 3, 5, 10]) k) group by query, k),
 x as (select query, k, round(dcg / list_aggregate(list_transform(range(1, m + 1), lambda r: 1 / log2(r + 1.0::double)), 'sum'), 4) x from g) select k::bigint k, round(avg(x), 6) ndcg from x group by k""",
     "slice_by_query_length": f"{_FIVE}, b as (select case when query % 8 + 1 <= 2 then '1-2' when query % 8 + 1 <= 5 then '3-5' else '6+' end bucket, {_AVG} from judged group by 1) select n0.bucket, coalesce(n, 0) n, coalesce(hit_rate, 0) hit_rate, coalesce(mean_recall, 0) mean_recall from (select unnest(['1-2', '3-5', '6+']) bucket) n0 left join b on n0.bucket = b.bucket",
     "slice_by_group": f"{_FIVE} select query % 4 grp, {_AVG} from judged group by 1",
