@@ -52,10 +52,13 @@ def reciprocal_rank(firsts: DataFrame) -> DataFrame:
 def ndcg(firsts: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
     """``(query, k, ndcg)`` with gain 1, rounded to four digits for each query before anything is averaged."""
     gain = lambda r: 1.0 / F.log2(r + 1.0)
+    def upto(k: int) -> Column:
+        return F.filter("ranks", lambda r: r <= k)
+
     rows = []
     per = firsts.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("first")).alias("ranks"))
     for k in ks:
-        dcg = F.aggregate(F.filter("ranks", lambda r, k=k: r <= k), F.lit(0.0), lambda s, r: s + gain(r.cast("double")))
+        dcg = F.aggregate(upto(k), F.lit(0.0), lambda s, r: s + gain(r.cast("double")))
         ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + gain(r.cast("double")))
         rows.append(F.struct(F.lit(k).cast("long").alias("k"), F.round(dcg / ideal, 4).alias("ndcg")))
     return per.select("query", F.explode(F.array(*rows)).alias("x")).select("query", "x.*")
