@@ -123,7 +123,7 @@ def sql_slug(s: str) -> str:
     return f"regexp_replace({two}, '^-+|-+$', '', 'g')"
 
 
-def truncated(s: Column, limit: int, mark: str = "\n[...truncated...]") -> Column:
+def truncated(s: Column, limit: int, mark: str = "\n\n[...truncated...]") -> Column:
     """At most ``limit`` characters, without trailing white space, and a mark where something was cut."""
     return F.when(F.length(s) > limit, F.concat(F.regexp_replace(F.substring(s, 1, limit), "\\s+$", ""), F.lit(mark))).otherwise(s)
 

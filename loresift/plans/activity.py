@@ -94,5 +94,5 @@ select event_id, coalesce(sum(fst::int) over (partition by user_id order by ts,
 select r.query, row_number() over (partition by r.query order by case e.kind when 'rule' then 0 when 'fact' then 1 else 2 end, r.rank) place, e.kind, '- ' || e.text[:60] line,
 '  (' || concat_ws(' · ', e.source, e.ts[:10], 'ref: ' || e.source_ref, case when e.drifted_at is not null then 'DRIFTED' end) || ')' meta from ranked r join entries e on e.doc = r.doc where r.rank <= 10""",
     "slugify": f"select doc_id, {T.sql_slug('string_split(text, chr(10))[1]')} slug from documents",
-    "truncate_condense": f"select doc_id, case when length(text) > 400 then regexp_replace(text[:400], '\\s+$', '') || chr(10) || '[...truncated...]' else text end cut, {T.sql_condensed('(' + _PREFIX + ')')} line from documents",
+    "truncate_condense": f"select doc_id, case when length(text) > 400 then regexp_replace(text[:400], '\\s+$', '') || chr(10) || chr(10) || '[...truncated...]' else text end cut, {T.sql_condensed('(' + _PREFIX + ')')} line from documents",
 }
