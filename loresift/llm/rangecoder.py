@@ -7,7 +7,7 @@ How much each order gets depends on how sure orders 1 and 2 have been in their c
 how often they were right at that sureness.  The mixture drives a carry-less range coder per lane.
 
 Block layout, little-endian: magic ``TKC1``, ids (u32), lanes (u32), crc32 of the ids as u32 (u32), crc32
-of all that follows (u32), 16-bit words of each lane (u32 each), then the words of lane 0, lane 1, ...
+of all the rest of the block (u32), 16-bit words of each lane (u32 each), then the words of lane 0, lane 1, ...
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ class Model:
             if want_slots:
                 self.slots = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.cum))
             share = self.hits / self.hits.sum(axis=1, keepdims=True)
-            w = np.maximum(1, (share * (1 << _W_BITS)).astype(np.int64))
+            w = 1 + (share * ((1 << _W_BITS) - 3)).astype(np.int64)  # each order keeps at least 1, so every id can be coded
             w[:, 0] = (1 << _W_BITS) - w[:, 1] - w[:, 2]
             self.weights = w << np.array([0, _F_BITS, _F_BITS])
         self.step += 1
@@ -138,7 +138,8 @@ def encode(ids: np.ndarray, size: int = 1 << 16) -> bytes:
     lane, word = np.concatenate(lane), np.concatenate(word)
     order = np.argsort(lane, kind="stable")
     body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word[order].astype("<u2").tobytes()
-    return _HEAD.pack(MAGIC, n, lanes, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+    head = _HEAD.pack(MAGIC, n, lanes, zlib.crc32(ids.astype("<u4").tobytes()), 0)
+    return head[:-4] + struct.pack("<I", zlib.crc32(body, zlib.crc32(head[:-4]))) + body
 
 
 def decode(block: bytes, size: int = 1 << 16) -> np.ndarray:
@@ -147,7 +148,7 @@ def decode(block: bytes, size: int = 1 << 16) -> np.ndarray:
         raise ValueError("a block is cut short")
     magic, n, lanes, ids_crc, body_crc = _HEAD.unpack_from(block)
     body = memoryview(block)[_HEAD.size :]
-    if magic != MAGIC or zlib.crc32(body) != body_crc:
+    if magic != MAGIC or zlib.crc32(body, zlib.crc32(block[: _HEAD.size - 4])) != body_crc:
         raise ValueError("a block is damaged")
     sizes = np.frombuffer(body, "<u4", lanes).astype(np.int64)
     words = np.concatenate((np.frombuffer(body, "<u2", -1, 4 * lanes).astype(np.uint64), np.zeros(4, np.uint64)))

@@ -11,9 +11,11 @@ Rows of a written folder: ``part`` and ``seq`` (the order of blocks), ``n_docs``
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from loresift.llm import rangecoder
 from loresift.llm.common import need, session, shared_dir, small_batches
 
 END = 0
-#: Words whose ids a worker remembers, and documents it encodes at once.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers.
+REMEMBERED = 1_200_000
 BLOCKS = "part int, seq int, n_docs long, n_tokens long, doc_ids binary, lengths binary, body binary"
 
 
@@ -45,6 +47,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the worker is one of many already
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -55,7 +58,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbered()
         self.ids = np.zeros(1 << 16, np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.used = self.n = 0
@@ -63,42 +66,63 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.ids.dtype)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of new pieces, each after a space."""
-        found = self.lib.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)
-        flat = [i for e in found for i in e.ids]
-        need_ids, need_n = self.used + len(flat), self.n + len(pieces) + 1
-        while len(self.ids) < need_ids:
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while len(self.start) <= need_n:
-            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
-        self.ids[self.used : need_ids] = flat
-        sizes = np.fromiter((len(e.ids) for e in found), np.int64, len(found))
-        self.start[self.n + 1 : self.n + 1 + len(pieces)] = self.used + np.cumsum(sizes)
-        for k, p in enumerate(pieces):
-            self.known[p] = self.n + k
-        self.n, self.used = self.n + len(pieces), need_ids
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return self.ids[:0].copy()
-        if not self.cuts or "  " in text or any(s in text for s in self.special):
-            return self._whole(text)
-        head, *rest = text.split(" ")
+    def _learn(self) -> None:
+        """Encodes the pieces that were numbered since the last time, each after a space."""
+        pieces = self.known.new
+        for lo in range(0, len(pieces), 20_000):
+            found = self.lib.encode_batch_fast([" " + p for p in pieces[lo : lo + 20_000]], add_special_tokens=False)
+            each = [e.ids for e in found]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            used, n = self.used + int(sizes.sum()), self.n + len(each)
+            while len(self.ids) < used:
+                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            while len(self.start) <= n:
+                self.start = np.concatenate((self.start, np.zeros_like(self.start)))
+            self.ids[self.used : used] = np.fromiter(chain.from_iterable(each), self.ids.dtype, int(sizes.sum()))
+            self.start[self.n + 1 : n + 1] = self.used + np.cumsum(sizes)
+            self.used, self.n = used, n
+        self.known.new = []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        at = list(map(self.known.get, rest))
-        if None in at:
-            self._learn(list(dict.fromkeys(p for p, k in zip(rest, at, strict=True) if k is None)))
-            at = list(map(self.known.get, rest))
-        out = self._whole(head) if head else self.ids[:0]
-        if not rest:
-            return out
-        k = np.array(at, np.int64)
-        lo = self.start[k]
-        n = self.start[k + 1] - lo
-        where = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.concatenate((out, self.ids[where]))
+        heads, at = [], []
+        for t in texts:
+            if not t or not self.cuts or "  " in t or any(s in t for s in self.special):
+                heads.append(self._whole(t) if t else self.ids[:0])
+                at.append([])
+            else:
+                head, *rest = t.split(" ")
+                heads.append(self._whole(head) if head else self.ids[:0])
+                at.append(list(map(self.known.__getitem__, rest)))
+        if self.known.new:
+            self._learn()
+        out = []
+        for head, places in zip(heads, at, strict=True):
+            if not places:
+                out.append(head)
+                continue
+            k = np.array(places, np.int64)
+            lo = self.start[k]
+            n = self.start[k + 1] - lo
+            where = np.repeat(lo - np.cumsum(n) + n, n)
+            where += np.arange(len(where))
+            out.append(np.concatenate((head, self.ids[where])))
+        return out
+
+
+class _Numbered(dict):
+    """Gives a key that it doesn't know the next number, and notes it in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
 
 
 _encoders: dict[str, Encoder] = {}
@@ -128,8 +152,8 @@ def blocks(docs: DataFrame, tokenizer: str, partitions: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.append(enc.encode(t or ""), enc.ids.dtype.type(END))
+            for i, got in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                got = np.append(got, enc.ids.dtype.type(END))
                 if held and held + len(got) > rangecoder.BLOCK_IDS:
                     yield row()
                     ids, texts, held, seq = [], [], 0, seq + 1
