@@ -87,7 +87,7 @@ def read_tree(spark: SparkSession, root: str, rules: Sequence[str] = (), scope:
         rows = rows.where((F.col("path") == s) | F.startswith("path", F.lit(s + "/")))
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")
     ext = F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1))
-    return rows.select("path", ext.alias("ext"), "size", folder.alias("directory"), "mtime", F.sha2("content", 256).alias("hash"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return rows.select("path", ext.alias("ext"), "size", folder.alias("directory"), "mtime", F.sha2("content", 256).alias("hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def ignore_rules(root: str) -> list[str]:

@@ -27,7 +27,7 @@ def objects(lines: DataFrame, schema: T.StructType, *needed: str) -> DataFrame:
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """``(value, pos)``: lines of one text file and their order; the file is read by one task, as its order asks."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     return lines.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "value")).select("value", F.col("pos").cast("long").alias("pos"))
 
 
@@ -103,15 +103,15 @@ def create_entry(spark: SparkSession, text: str, tags: list[str] | None = None,
 
 def read_events(spark: SparkSession, paths: str | list[str], since: str | None = None) -> DataFrame:
     """Event logs: one run for each file, events in order; ``since`` leaves out files that are older."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     reader = reader.option("modifiedAfter", since) if since else reader
-    lines = reader.text(paths).select(F.regexp_extract(F.input_file_name(), "([^/]+?)(\\.jsonl)?$", 1).alias("run_id"), F.posexplode(F.split("value", "\r?\n")).alias("seq", "value"))
+    lines = reader.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+?)(\\.jsonl)?$", 1).alias("run_id"), F.posexplode(F.split("value", "\r?\n")).alias("seq", "value"))
     return objects(lines, S.EVENT)
 
 
 def session_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Nested session logs flattened to events: a start, then every tool call with the last result of its id."""
-    lines = spark.read.option("wholetext", True).text(paths).select(F.regexp_extract(F.input_file_name(), "([^/]+?)(\\.jsonl)?$", 1).alias("run_id"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    lines = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+?)(\\.jsonl)?$", 1).alias("run_id"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     rows = objects(lines, S.SESSION_LINE)
     parts = rows.select("run_id", "line", "cwd", "timestamp", F.posexplode("message.content").alias("part", "c"))
     calls = parts.where("c.type = 'tool_use'").select("run_id", "line", "part", "cwd", "timestamp", F.col("c.id").alias("id"), F.col("c.name").alias("tool_name"), F.col("c.input").alias("tool_input"))
@@ -153,7 +153,7 @@ def freeze_pairs(pairs: DataFrame, path: str) -> None:
 
 
 def load_pairs(spark: SparkSession, path: str) -> DataFrame:
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     inner = T.StructType([T.StructField("pairs", T.ArrayType(S.PAIR))])
     return doc.select(F.explode(F.from_json("value", inner)["pairs"]).alias("p")).select("p.*")
 
