@@ -53,7 +53,7 @@ class Index:
         self.off = np.array(off, np.int64)
         self.masks = []
         for k, mask in enumerate(MASKS):
-            value, item, at = [], [], []
+            value, item, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i in range(len(self.ids)):
                 s = seeds(self.h[self.off[i] : self.off[i + 1]], mask, k)
                 value.append(s)

@@ -89,8 +89,8 @@ def calibrated(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | No
             if targets and a in targets:
                 wide[a] = spark.createDataFrame([(k, float(v)) for k, v in targets[a].items()] or [("", 0.0)], f"{a} string, share double")
             else:
-                power = total.withColumn("p", F.pow(F.col("t").cast("double"), F.lit(power)))
-                wide[a] = power.crossJoin(F.broadcast(power.agg(F.sum("p").alias("whole")))).select(a, (F.col("p") / F.col("whole")).alias("share"))  # one row
+                raised = total.withColumn("p", F.pow(F.col("t").cast("double"), F.lit(power)))
+                wide[a] = raised.crossJoin(F.broadcast(raised.agg(F.sum("p").alias("whole")))).select(a, (F.col("p") / F.col("whole")).alias("share"))  # one row
         w = _rake_wide(cells.where("tokens > 0"), wide, rounds).withColumn("rate", F.col("w") / F.col("tokens"))
         top = w.agg(F.max("rate").alias("top"))
         w = w.crossJoin(F.broadcast(top)).select(*AXES, (F.col("rate") / F.col("top")).alias("p"))  # one row

@@ -112,7 +112,7 @@ def shingles(h: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.
     mul = np.uint64(0xD6E8FEB86659FD93)
     for i in range(size):
         part = np.zeros(len(h), np.uint64)
-        part[: len(h) - i] = h[i:]
+        part[: max(0, len(h) - i)] = h[i:]
         value = np.where(room > i, (value ^ part) * mul + np.uint64(i + 1), value)
     keep = (room >= size) | ((k == 0) & (np.repeat(count, count) < size))
     value, doc = mix(value[keep]), doc[keep]
