@@ -102,23 +102,36 @@ def _forward(p: dict, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[n
     steps, lanes = x.shape
     d = h.shape[1]
     before, after, zs, cs = (np.empty((steps, lanes, d), _F) for _ in range(4))
-    inp = p["E"][x]
+    # the logistic gate is read off the same tanh as the candidate: s(a) = (1 + tanh(a / 2)) / 2
+    scale = np.concatenate((np.full(d, 0.5, _F), np.ones(d, _F)))
+    inp, u = p["E"][x] * scale, p["U"] * scale
     for t in range(steps):
-        h = h * keep[t]
-        a = inp[t] + h @ p["U"]
-        z = 1 / (1 + np.exp(-a[:, :d]))
-        c = np.tanh(a[:, d:])
-        before[t], zs[t], cs[t] = h, z, c
-        h = h + z * (c - h)
-        after[t] = h
+        h = np.multiply(h, keep[t], out=before[t])
+        a = h @ u
+        a += inp[t]
+        np.tanh(a, out=a)
+        z, c = zs[t], cs[t]
+        np.multiply(a[:, :d], 0.5, out=z)
+        z += 0.5
+        c[:] = a[:, d:]
+        h = np.subtract(c, h, out=after[t])
+        h *= z
+        h += before[t]
     return before, after, zs, cs
 
 
-def _soft(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(softmax, log of its sum) by row; the scores are kept small by training, and clipped."""
-    e = np.exp(np.minimum(x, 60))
-    s = e.sum(axis=1, keepdims=True)
-    return e / s, np.log(s[:, 0])
+def _exp_sum(x: np.ndarray) -> np.ndarray:
+    """Exponentials in place of the scores, which training keeps small; returns the sums by row."""
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _soft(x: np.ndarray) -> np.ndarray:
+    """Softmax by row, in place of the scores."""
+    s = _exp_sum(x)
+    x /= s[:, None]
+    return x
 
 
 def log_likelihood(p: dict, rows: np.ndarray, off: np.ndarray, layout: Layout) -> np.ndarray:
@@ -135,17 +148,20 @@ def log_likelihood(p: dict, rows: np.ndarray, off: np.ndarray, layout: Layout) -
         h[:lanes], last[:lanes] = after[-1], y[-1]
         s, word = after.reshape(-1, after.shape[2]), y.ravel()
         cls = layout.class_of(word)
-        score = s @ p["W"] + p["b"]
-        ll = score[np.arange(len(word)), cls] - np.log(np.exp(np.minimum(score, 60)).sum(axis=1))
+        score = s @ p["W"]
+        score += p["b"]
+        ll = score[np.arange(len(word)), cls]
+        ll -= np.log(_exp_sum(score))
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(layout.head_classes + 1))
         for k in range(layout.head_classes):
             at = order[ends[k] : ends[k + 1]]
             lo, hi = layout.bounds[k], layout.bounds[k + 1]
             if len(at) and hi - lo > 1:
-                inner = s[at] @ p["V"][:, lo:hi] + p["v"][lo:hi]
-                inner -= inner.max(axis=1, keepdims=True)
-                ll[at] += inner[np.arange(len(at)), word[at] - lo] - np.log(np.exp(inner).sum(axis=1))
+                inner = s[at] @ p["V"][:, lo:hi]
+                inner += p["v"][lo:hi] - p["v"][lo:hi].max()
+                right = inner[np.arange(len(at)), word[at] - lo]
+                ll[at] += right - np.log(_exp_sum(inner))
         out[t:end, :lanes] = ll.reshape(y.shape)
     return out[run.place]
 
@@ -184,7 +200,9 @@ class Trainer:
         s, word = after.reshape(-1, d), y.ravel()
         cls = lay.class_of(word)
         scale = _F(1 / max(256, real.sum()))
-        prob, _ = _soft(s @ p["W"] + p["b"])
+        prob = s @ p["W"]
+        prob += p["b"]
+        _soft(prob)
         prob[np.arange(len(word)), cls] -= 1
         prob *= (real * scale).astype(_F)[:, None]
         ds = prob @ p["W"].T
@@ -197,7 +215,9 @@ class Trainer:
             lo, hi = lay.bounds[k], lay.bounds[k + 1]
             if len(at) and hi - lo > 1:
                 sk = s[at]
-                inner, _ = _soft(sk @ p["V"][:, lo:hi] + p["v"][lo:hi])
+                inner = sk @ p["V"][:, lo:hi]
+                inner += p["v"][lo:hi] - p["v"][lo:hi].max()
+                _soft(inner)
                 inner[np.arange(len(at)), word[at] - lo] -= 1
                 inner *= scale
                 ds[at] += inner @ p["V"][:, lo:hi].T

@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,17 @@ from loresift.llm.common import cut, need, session, small_batches
 
 HEAD, HEAD_CLASSES, TAIL_CLASSES = 1024, 32, 64
 #: Words whose counts every worker holds.
-KNOWN = 150_000
+KNOWN = 100_000
 #: Documents that the start in the driver learns from at most, and their tokens.
 START_DOCS, START_TOKENS = 800, 400_000
 #: A gradient is taken in every such window of a document; the state runs through all.
 STRIDE = 2
+#: Tokens after which training starts with an empty state again; scoring never does.
+SEGMENT = 1_500
+#: Texts of more tokens are handled together, apart from the others.
+LONG = 2_500
 #: Tokens handled at once in a worker.
-TRAIN_TOKENS, SCORE_TOKENS = 600_000, 1_200_000
+TRAIN_TOKENS, SCORE_TOKENS = 400_000, 500_000
 END = b""
 _LN10 = float(np.log(10))
 
@@ -61,6 +66,7 @@ class Vocabulary:
     tail_tokens: np.ndarray
     tail_words: np.ndarray
     layout: gru.Layout
+    least: int  # words of at least this count are known; 0: none is
 
     def log_base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
@@ -81,7 +87,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 count.update(words_of(t))
-                if len(count) > 300_000:
+                if len(count) > 200_000:
                     yield out()
                     count.clear()
         if count:
@@ -91,9 +97,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Totals of ``counts(word, c)`` and its ``KNOWN`` most frequent words; equal counts by the word."""
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
-    words, c = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.int64)
+    """Totals of ``counts(word, c)`` and its most frequent words, ``KNOWN`` at most; equal counts by the word.
+
+    The least count that is known is found on a histogram, so only known words come to the driver.
+    """
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16)
+    room, least = KNOWN, 0
+    for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("s")).collect():  # a thousand rows at most
+        if r["n"] > room:
+            break
+        room, least = room - r["n"], r["c"]
+    top = sorted(((-r["c"], bytes(r["word"])) for r in counts.where(F.col("c") >= least).collect()) if least else [])
+    words, c = [w for _, w in top], np.array([-n for n, _ in top], np.int64)
     head = min(HEAD, len(words))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +130,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     share = np.cumsum(np.sqrt(c[:head])) if head else np.empty(0)
     cls = np.minimum((share / share[-1] * HEAD_CLASSES * 0.9999).astype(int), HEAD_CLASSES - 1) if head else share.astype(int)
     bounds = np.concatenate(([0], np.flatnonzero(np.diff(cls)) + 1, [head])) if head else np.zeros(1, int)
-    return Vocabulary(tokens, distinct, words, c, tail_n, tail_v, gru.Layout(head, TAIL_CLASSES, bounds))
+    return Vocabulary(tokens, distinct, words, c, tail_n, tail_v, gru.Layout(head, TAIL_CLASSES, bounds), least)
 
 
 class Rows:
@@ -132,7 +147,7 @@ class Rows:
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(input row of every word, place among the known words or -1)."""
-        at = np.array([-1 if x is None else x for x in map(self.at.get, words)], np.int64)
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         row = self.row[at] if len(self.row) else np.zeros(len(at), np.int64)
         for i in np.flatnonzero(at < 0).tolist():
             row[i] = self.v.layout.head + tail_class(words[i])
@@ -140,19 +155,22 @@ class Rows:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """(ids, words of each text) of documents with about ``most`` tokens together."""
-    ids, texts, n = [], [], 0
+    """(ids, words of each text) of documents with about ``most`` tokens together; long and short ones apart, so that lanes are alike."""
+    held: dict[bool, tuple[list, list[list[bytes]]]] = {k: ([], []) for k in (False, True)}
+    n = {False: 0, True: 0}
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             w = words_of(t)
-            ids.append(i)
-            texts.append(w)
-            n += len(w)
-            if n >= most:
-                yield ids, texts
-                ids, texts, n = [], [], 0
-    if ids:
-        yield ids, texts
+            k = len(w) > LONG
+            held[k][0].append(i)
+            held[k][1].append(w)
+            n[k] += len(w)
+            if n[k] >= most:
+                yield held[k]
+                held[k], n[k] = ([], []), 0
+    for ids, texts in held.values():
+        if ids:
+            yield ids, texts
 
 
 def _flat(rows: Rows, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,6 +178,14 @@ def _flat(rows: Rows, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray,
     return row, at, np.concatenate(([0], np.cumsum([len(t) for t in texts])))
 
 
+def _cut(off: np.ndarray) -> np.ndarray:
+    """Offsets with texts of over ``SEGMENT`` tokens cut up, so that training lanes stay equally long."""
+    n = np.diff(off)
+    parts = np.maximum(1, -(-n // SEGMENT))
+    at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.append(np.repeat(off[:-1], parts) + at * SEGMENT, off[-1])
+
+
 def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     """The averaged weights after one pass over all of ``docs(doc_id, text)``."""
     spark = session(docs)
@@ -169,14 +195,18 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
         return params
     first = gru.Trainer(params, layout)
     rows, some, n = Rows(v), [], 0
-    for r in docs.select(F.col("text").cast("binary").alias("text"), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(START_DOCS).collect():
+    documents = max(1, int(v.counts[v.words.index(END)]) if END in v.words else 1)
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < (1 << 20) * START_DOCS / documents
+    for r in docs.where(share).select(F.col("text").cast("binary").alias("text")).toLocalIterator():
+        if n >= START_TOKENS:
+            break
         w = words_of(r["text"])
         if n + len(w) <= START_TOKENS:  # of the sample: too long ones wait for the pass over all
             some.append(w)
             n += len(w)
     if some:
         row, _, off = _flat(rows, some)
-        first.learn(row, off, lanes=32)
+        first.learn(row, _cut(off), lanes=32)
     shared = spark.sparkContext.broadcast((v, first.p, first.g2))  # bounded by KNOWN and HEAD
     names = sorted(params)
     shapes = [params[k].shape for k in names]
@@ -187,7 +217,7 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
         t.g2 = {k: x.copy() for k, x in g2.items()}
         for _, texts in _groups(batches, TRAIN_TOKENS):
             row, _, off = _flat(rows, texts)
-            t.learn(row, off, lanes=192)
+            t.learn(row, _cut(off), lanes=192)
         if t.tokens:
             flat = np.concatenate([t.p[k].ravel() for k in names]).astype(np.float64) * t.tokens
             yield pa.RecordBatch.from_arrays([pa.array([t.tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "w"])
@@ -268,8 +298,8 @@ def score(docs: DataFrame, held_out: Callable[[], Column]) -> DataFrame:
     v = vocabulary(counts)
     params = train(learn, v)
     rows = cut(_score_rows(docs, v, params))
-    rarest = int(v.counts[-1]) if len(v.counts) == KNOWN else 0
-    words = rows.where("word is not null").select("uid", "word", "tf", "k").join(counts.where(F.col("c") <= rarest), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rarer = counts.where(F.col("c") < v.least) if v.least else counts
+    words = rows.where("word is not null").select("uid", "word", "tf", "k").join(rarer, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     whole = float(v.tokens + 0.5 * (v.distinct + 1))
     tail = F.array(*[F.lit(float(n + 0.5 * (d + 1))) for n, d in zip(v.tail_tokens, v.tail_words, strict=True)])
     per = words.groupBy("uid").agg(
