@@ -71,7 +71,7 @@ def matches(docs: DataFrame, queries: DataFrame, p: SearchParams = SearchParams(
     posts = postings(docs)
     stats = corpus_stats(docs)
     terms = query_terms(queries).join(term_stats(posts, stats, p), ["corpus", "term"]).join(stats, "corpus")
-    hits = posts.join(terms, ["corpus", "term"])
+    hits = posts.join(F.broadcast(terms), ["corpus", "term"])  # no more rows than the queries given have words
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("corpus", "query", "doc").agg(F.sum(part).alias("score"))
 
@@ -87,8 +87,8 @@ def ranked(docs: DataFrame, queries: DataFrame, scored: DataFrame, top_n: int, d
     first = Window.partitionBy("corpus", "query").orderBy(F.desc("score"), "pos")
     best = scored.where("score > 0").join(place, ["corpus", "doc"]).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top_n)
     short = queries.select("corpus", "query").distinct().join(best.groupBy("corpus", "query").agg(F.max("rank").alias("k")), ["corpus", "query"], "left")
-    short = short.where(F.coalesce("k", F.lit(0)) < top_n).select("corpus", "query")
-    rest = place.join(short, "corpus").join(scored, ["corpus", "query", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).where("score <= 0")
+    short = short.where(F.coalesce("k", F.lit(0)) < top_n).select("corpus", "query")  # of the queries given
+    rest = place.join(F.broadcast(short), "corpus").join(scored, ["corpus", "query", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).where("score <= 0")
     rest = rest.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top_n)
     columns = ["corpus", "query", "doc", "pos", "score", *keep]
     both = best.select(*columns).union(rest.select(*columns))
