@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Tools that name a file and in which argument, and folders that aren't anyone's own work.
+# Fixed values (patterns below included): tools that name a file and in which argument, and folders that aren't anyone's own work.
 FILE_ARGUMENTS = {"Read": "file_path", "Edit": "file_path", "Write": "file_path", "Grep": "path"}
 VENDORED = (".venv", "node_modules", "__pycache__", ".tox", "site-packages", "dist", "build")
 WORKTREES = "\\.claude/worktrees/[^/]+/"

@@ -27,6 +27,7 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 PATH_HINTS = ("glossary", "dictionary", "terms", "vocabulary", "acronyms")
+# Headings of glossaries, table rows and what ends a meaning's head.
 _TITLE = re.compile(r"#{1,3}\s+(glossary|domain[\s_-]+terms?|acronyms?|terminology|system[\s_-]+names?|common[\s_-]+terms?|abbreviations?)\s*:?\s*$", re.I)
 _ROW = re.compile(r"\|\s*([^|]+?)\s*\|\s*(.+?)\s*\|\s*$")
 _DIVIDER = re.compile(r"\s*\|[\s|:-]+\|\s*$")

@@ -48,6 +48,7 @@ def counted(blocks: list[Block], kinds: tuple[str, ...]) -> str:
 
 # Markdown ------------------------------------------------------------------------------------------
 
+# Patterns of what a line can be.
 _FENCE, _RULE = re.compile(r"\s*```"), re.compile(r"---\s*$")
 _HEADING = re.compile(r"(#{1,3})\s+(.+?)\s*$")
 _FIELD = {
@@ -167,6 +168,7 @@ def markdown_tags(path: str, blocks: list[Block]) -> set[str]:
 
 # Python --------------------------------------------------------------------------------------------
 
+# Patterns of what a line can be.
 _PY = {
     "route": re.compile(r"\s*@(?:router|app|sub_router|api_router)\s*\.\s*(get|post|put|patch|delete|head|options)\s*\(\s*[\"']([^\"']+)[\"']"),
     "function": re.compile(r"(?:async\s+)?def\s+(\w+)\s*\("),
@@ -231,6 +233,7 @@ def python_tags(path: str, blocks: list[Block]) -> set[str]:
 
 # Terraform -----------------------------------------------------------------------------------------
 
+# Patterns of what a line can be.
 _TF = re.compile(r'\s*(?:(resource|data)\s+"([^"]+)"\s+"([^"]+)"|(module|variable|output|provider)\s+"([^"]+)"|(locals)\s*\{)')
 # What a resource type is for.
 TF_SERVICES = {
@@ -292,6 +295,7 @@ def terraform_tags(path: str, blocks: list[Block]) -> set[str]:
 
 # Go ------------------------------------------------------------------------------------------------
 
+# Patterns of what a line can be.
 _GO = (
     ("package", re.compile(r"\s*package\s+(\w+)")),
     ("struct", re.compile(r"\s*type\s+(\w+)\s+struct\b")),
@@ -299,6 +303,7 @@ _GO = (
     ("method", re.compile(r"\s*func\s+\(\s*\w+\s+\*?(\w+)\s*\)\s+(\w+)\s*\(")),
     ("function", re.compile(r"\s*func\s+(\w+)\s*\(")),
 )
+# Patterns of what a line can be.
 _GO_ROUTE = re.compile(r"\.\s*(Get|Post|Put|Patch|Delete|Head|Options|GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|HandleFunc|Handle)\s*\(\s*[\"`](/[^\"`]*)[\"`]")
 # Name endings that tell a role.
 GO_ROLES = {"client": "client", "server": "server", "handler": "handler", "service": "service", "repository": "repository", "repo": "repository", "config": "config", "manager": "manager", "middleware": "middleware"}
