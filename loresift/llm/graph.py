@@ -25,9 +25,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = e.select(F.col("x").alias("u"), F.col("y").alias("v")).union(e.select(F.col("y").alias("u"), F.col("x").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are written, so that AQE can split the joins on a hot node
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
-        least = large.groupBy("x").agg(F.min("y").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("x").agg(F.min("y").alias("m")))
         small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).union(least.select("x", F.col("m").alias("y")))
         e = cut(small.distinct())
         now = _stamp(e)

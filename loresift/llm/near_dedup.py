@@ -255,12 +255,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     area = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("area"))
     member = area.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     member = cut(member)
-    mixed = member.groupBy("area").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("area", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    # one row for each neighbourhood of several components, written so that AQE can split the join on a hot one
+    sizes = member.groupBy("area", "component").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("area").agg(F.count(F.lit(1)).alias("parts"), F.ceil(F.sum("k") / BLOCK).cast("int").alias("blocks"), F.max_by("component", F.struct("k", "component")).alias("main"))
+    mixed = cut(mixed.where("parts > 1").select("area", "blocks", "main"))
     # members of an area's largest component stand once for each block of others; all others meet everything
-    ranked = member.join(mixed, "area")
-    sizes = ranked.groupBy("area", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("area").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    ranked = ranked.join(main, "area").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("block", F.when(F.col("component") == F.col("main"), F.col("block")).otherwise(-1 - F.col("block")))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    ranked = member.join(mixed, "area").withColumn("block", F.when(F.col("component") == F.col("main"), block).otherwise(-1 - block))
     counts = ranked.select("area", "block").distinct()
     pairs = counts.alias("l").join(counts.alias("r"), (F.col("l.area") == F.col("r.area")) & (F.col("l.block") <= F.col("r.block")) & (F.col("l.block") < 0))
     pairs = pairs.select(F.col("l.area").alias("area"), F.col("l.block").alias("lb"), F.col("r.block").alias("rb"))
