@@ -20,7 +20,7 @@ import numpy as np
 MAGIC = b"TKC1"
 _HEAD = struct.Struct("<4sIIII")
 #: Ids a block aims at; lanes at most; ids a lane has at least.
-BLOCK_IDS, LANES, LANE_IDS = 1 << 20, 2048, 64
+BLOCK_IDS, LANES, LANE_IDS = 1 << 20, 4096, 64
 _F_BITS, _W_BITS = 18, 12
 _TOTAL_BITS = _F_BITS + _W_BITS
 _HASH_BITS = 18
@@ -46,11 +46,15 @@ class Model:
         self.hits = np.tile(np.array([24.0, 4.0, 4.0]), ((_SURE + 1) ** 2, 1))
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.slots: np.ndarray | None = None
+        self.fresh: list[np.ndarray] = []  # ids that the frequencies don't count yet
         self.step = 0
 
     def begin(self, want_slots: bool) -> None:
         """Rebuilds the order-0 frequencies and the mixing weights, every few steps."""
         if self.step % _EVERY == 0 or self.step < 4:
+            if self.fresh:
+                self.counts[:-1] += np.bincount(np.concatenate(self.fresh), minlength=self.size)
+                self.fresh = []
             spare = (1 << _F_BITS) - self.size
             if self.total:
                 np.cumsum(self.counts[:-1], out=self.cum[1:])
@@ -68,32 +72,36 @@ class Model:
         self.step += 1
 
     def contexts(self) -> tuple[np.ndarray, ...]:
-        """(order-2 slot, prediction 1, prediction 2, bucket of sureness) for every lane."""
+        """(order-2 slot, prediction 1, prediction 2, sureness 1, sureness 2) for every lane."""
         slot = ((self.prev2 * 40503 + self.prev1 * 2654435) >> 3) & ((1 << _HASH_BITS) - 1)
-        p1, p2 = self.pred1[self.prev1], self.pred2[slot]
-        return slot, p1, p2, self.sure2[slot].astype(np.int64) * (_SURE + 1) + self.sure1[self.prev1]
+        return slot, self.pred1[self.prev1], self.pred2[slot], self.sure1[self.prev1], self.sure2[slot]
 
-    def learn(self, ids: np.ndarray, slot: np.ndarray, p1: np.ndarray, p2: np.ndarray, bucket: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, slot: np.ndarray, p1: np.ndarray, p2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> None:
         hit2, hit1 = ids == p2, ids == p1
-        kind = np.where(hit2, 2, np.where(hit1, 1, 0))
-        self.hits += np.bincount(bucket * 3 + kind, minlength=self.hits.size).reshape(self.hits.shape)
-        self.counts[:-1] += np.bincount(ids, minlength=self.size) if len(ids) * 8 > self.size else 0
-        if len(ids) * 8 <= self.size:
-            np.add.at(self.counts, ids, 1)
+        kind = np.where(hit2, 2, hit1.view(np.int8))
+        self.hits += np.bincount(_bucket(s1, s2) * 3 + kind, minlength=self.hits.size).reshape(self.hits.shape)
+        self.fresh.append(ids)
         self.total += len(ids)
-        for pred, sure, at, hit in ((self.pred1, self.sure1, self.prev1, hit1), (self.pred2, self.sure2, slot, hit2)):
-            s = sure[at]
+        for pred, sure, at, s, hit in ((self.pred1, self.sure1, self.prev1, s1, hit1), (self.pred2, self.sure2, slot, s2, hit2)):
             sure[at] = np.where(hit, np.minimum(s + 1, _SURE), s >> 1)
-            new = ~hit & (s == 0)
+            new = np.flatnonzero(~hit & (s == 0))
             pred[at[new]] = ids[new]
         self.prev2, self.prev1 = self.prev1, ids
 
 
-def _spikes(m: Model, p1: np.ndarray, p2: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(weight of order 0, lower id, its spike, higher id, its spike): spikes lie on the order-0 steps."""
-    w = m.weights[bucket]
+def _bucket(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    return s2.astype(np.int64) * (_SURE + 1) + s1
+
+
+def _spikes(m: Model, p1: np.ndarray, p2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(weight of order 0, lower id, its spike, higher id, its spike): spikes lie on the order-0 steps; of equal ids the lower has both."""
+    w = m.weights[_bucket(s1, s2)]
+    w1, w2 = w[:, 1], w[:, 2]
     swap = p1 > p2
-    return w[:, 0], np.where(swap, p2, p1), np.where(swap, w[:, 2], w[:, 1]), np.where(swap, p1, p2), np.where(swap, w[:, 1], w[:, 2])
+    a, b = np.minimum(p1, p2), np.maximum(p1, p2)
+    wa, wb = np.where(swap, w2, w1), np.where(swap, w1, w2)
+    same = a == b
+    return w[:, 0], a, wa + wb * same, b, wb * ~same
 
 
 def encode(ids: np.ndarray, size: int = 1 << 16) -> bytes:
@@ -108,8 +116,8 @@ def encode(ids: np.ndarray, size: int = 1 << 16) -> bytes:
     lane, word, every = [], [], np.arange(lanes, dtype=np.int32)
     for sym in grid:
         m.begin(False)
-        slot, p1, p2, bucket = m.contexts()
-        w0, a, wa, b, wb = _spikes(m, p1, p2, bucket)
+        slot, p1, p2, s1, s2 = m.contexts()
+        w0, a, wa, b, wb = _spikes(m, p1, p2, s1, s2)
         c = m.cum[sym]
         start = w0 * c + wa * (a < sym) + wb * (b < sym)
         width = w0 * (m.cum[sym + 1] - c) + wa * (a == sym) + wb * (b == sym)
@@ -131,7 +139,7 @@ def encode(ids: np.ndarray, size: int = 1 << 16) -> bytes:
             word.append((x >> _S48).astype(np.uint16))
             low[at] = x << _S16
             rng[at] = rng[at] << _S16
-        m.learn(sym, slot, p1, p2, bucket)
+        m.learn(sym, slot, p1, p2, s1, s2)
     for shift in (48, 32, 16, 0):
         lane.append(every)
         word.append((low >> np.uint64(shift)).astype(np.uint16))
@@ -164,31 +172,18 @@ def decode(block: bytes, size: int = 1 << 16) -> np.ndarray:
     top = np.uint64((1 << _TOTAL_BITS) - 1)
     for t in range(steps):
         m.begin(True)
-        slot, p1, p2, bucket = m.contexts()
-        w0, a, wa, b, wb = _spikes(m, p1, p2, bucket)
+        slot, p1, p2, s1, s2 = m.contexts()
+        w0, a, wa, b, wb = _spikes(m, p1, p2, s1, s2)
         r = rng >> _SR
         v = np.minimum((code - low) // r, top).astype(np.int64)
         # below the lower spike, in it, between, in the higher one, or above
-        v1 = v - wa
-        in_a = (v >= w0 * m.cum[a]) & (v1 < w0 * m.cum[a + 1])
-        v = np.where(v1 >= w0 * m.cum[a + 1], v1, v)
-        above_a = v == v1
-        v2 = v - wb
-        in_b = above_a & (v >= w0 * m.cum[b]) & (v2 < w0 * m.cum[b + 1])
-        same = a == b
-        if same.any():  # one spike of both weights
-            both = wa + wb
-            u = (code - low) // r
-            u = np.minimum(u, top).astype(np.int64)
-            lo, hi = w0 * m.cum[a], w0 * m.cum[a + 1] + both
-            in_a = np.where(same, (u >= lo) & (u < hi), in_a)
-            in_b = in_b & ~same
-            v = np.where(same & (u >= hi), u - both, np.where(same, u, v))
-            above_b = ~same & above_a & ~in_b & (v2 >= w0 * m.cum[b + 1])
-        else:
-            above_b = above_a & ~in_b & (v2 >= w0 * m.cum[b + 1])
-        v = np.where(above_b, v2, v)
-        sym = m.slots[np.clip(v // w0, 0, (1 << _F_BITS) - 1)].astype(np.int64)
+        end_a = w0 * m.cum[a + 1] + wa
+        in_a, above = (v >= w0 * m.cum[a]) & (v < end_a), v >= end_a
+        v -= wa * above
+        end_b = w0 * m.cum[b + 1] + wb
+        in_b = above & (v >= w0 * m.cum[b]) & (v < end_b)
+        v -= wb * (above & (v >= end_b))
+        sym = m.slots[np.minimum(v // w0, (1 << _F_BITS) - 1)]
         sym = np.where(in_a, a, np.where(in_b, b, sym)).astype(np.int64)
         c = m.cum[sym]
         start = w0 * c + wa * (a < sym) + wb * (b < sym)
@@ -209,7 +204,7 @@ def decode(block: bytes, size: int = 1 << 16) -> np.ndarray:
             at[i] += 1
             low[i] = low[i] << _S16
             rng[i] = rng[i] << _S16
-        m.learn(sym, slot, p1, p2, bucket)
+        m.learn(sym, slot, p1, p2, s1, s2)
         out[t] = sym
     ids = out.T.ravel()[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
