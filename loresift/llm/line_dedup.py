@@ -1,16 +1,23 @@
 """Line deduplication by pairwise alignment (operator 6).
 
-Lines are hashed.  A line that is rare (in at most ``rare`` documents) makes each document that has it overlap
-with the first one that has it; more common lines pair documents with their first holder too, as far
-as they are long enough to be worth deleting, so nothing is lost by the limit and a hot line costs one pair for each document.
-Each pair is aligned by patience diff on its line hashes, and the aligned common blocks are deleted from the
-later document.  Only hashes travel; texts are read once more, to cut them.
+Lines are hashed.  What two documents can lose to each other is a run of neighbouring lines that has the words to be
+deleted, so documents are paired by runs: the shortest ones that begin and that end at each line, each with its first
+holder.  A pair is aligned by patience diff on its line hashes, repeated lines by longest common runs, and the aligned common
+blocks are deleted from the later document.  A run that is left then, as it stands in another order or more often than in
+its first holder, goes on by itself to the next holder, with which it is in line; if there is none before the
+document, it stays.  No count of holders is capped, and a hot line costs one pair for each document.
+Only hashes travel; texts are read once more, to cut them.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from hashlib import blake2b
+from itertools import product
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +56,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned equal lines of two hash sequences, in order in both; empty lines (0) only inside of blocks.
 
     Lines that occur once in either are matched and the longest increasing run of matches is kept; between two
-    of its matches the rest is aligned the same way, and matches grow over equal neighbours.
+    of its matches the rest is aligned the same way, and matches grow over equal neighbours.  Where only repeated lines
+    are common, the longest common run is matched instead.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -87,6 +95,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             chain.append(pairs[k])
             k = back[k]
         if not chain:
+            if any(h and h in there for h in once):
+                # an empty line can't begin a run: those of either side differ
+                x = [h or (0, k) for k, h in enumerate(a[a0:a1])]
+                i, j, n = SequenceMatcher(None, x, b[b0:b1], autojunk=False).find_longest_match()
+                out += [(a0 + i + k, b0 + j + k) for k in range(n)]
+                todo += [(a0, a0 + i, b0, b0 + j), (a0 + i + n, a1, b0 + j + n, b1)]
             continue
         last = (a0, b0)
         for i, j in reversed(chain):
@@ -110,11 +124,40 @@ def blocks(matches: list[tuple[int, int]], words: list[int], least: int) -> list
     return out + (run if sum(words[x] for x in run) >= least else [])
 
 
+def runs(at: list[int], h: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(hash, first line, last line) of the shortest runs of neighbouring lines with ``least`` words that begin or end at a line.
+
+    Every longer run is covered by those in it, and equal runs are cut alike in any document.
+    """
+    spans = set()
+    for k in range(len(at)):
+        for step in (1, -1):
+            end, n = k, words[k]
+            while n < least and 0 <= end + step < len(at) and at[end + step] == at[end] + step:
+                end += step
+                n += words[end]
+            if n >= least:
+                spans.add((min(k, end), max(k, end)))
+    out = []
+    for lo, hi in sorted(spans):
+        key = h[lo] if lo == hi else int.from_bytes(blake2b(array("q", h[lo : hi + 1]).tobytes(), digest_size=8).digest(), "little", signed=True)
+        out.append((key, at[lo], at[hi]))
+    return out
+
+
+def by_row(lines: list[dict]) -> list[list[dict]]:
+    """The lines of each row; there is more than one only where rows share an id."""
+    rows: dict[int, list[dict]] = {}
+    for x in lines:
+        rows.setdefault(x["row"], []).append(x)
+    return list(rows.values())
+
+
 def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed_words, text)`` of every row of ``docs(doc_id, text)``.
 
     A line block that is aligned with one in a document of a lower id goes from the later one, if it
-    has ``least_words`` words.  Rows with a null id keep their lines and nothing is aligned with them; null
+    has ``least_words`` words, whichever earlier document that is.  Rows with a null id keep their lines and nothing is aligned with them; null
     texts count as empty; of rows that share an id all lose the lines that any of them loses at that place;
     equal rows stay equal.  Documents without shared lines stay as they are.
     """
@@ -128,34 +171,58 @@ def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             ids = np.repeat(np.asarray(b.column(0)), np.diff(off))
             at = np.arange(len(h)) - np.repeat(off[:-1], np.diff(off))
             keep = h != 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(at[keep]), pa.array(h[keep].view(np.int64)), pa.array(n[keep])], ["doc_id", "at", "h", "words"])
+            row = np.repeat(np.array([crc32(h[x:y].tobytes()) for x, y in zip(off[:-1], off[1:], strict=True)], np.int64), np.diff(off))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(at[keep]), pa.array(h[keep].view(np.int64)), pa.array(n[keep]), pa.array(row[keep])], ["doc_id", "at", "h", "words", "row"])
 
-    lines = docs.where("doc_id is not null").mapInArrow(read, "doc_id long, at long, h long, words long")
-    first = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
+    lines = docs.where("doc_id is not null").mapInArrow(read, "doc_id long, at long, h long, words long, row long")
+    first = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h")
     first = cut(first)  # so that AQE can split the join on a hot line
-    shared = cut(lines.join(first, "h").select("doc_id", "at", "h", "words", "first"))
+    shared = cut(lines.join(first, "h").select("doc_id", "at", "h", "words", "row"))
     # a document's shared lines, as positions and hashes: all that alignment needs, as other lines match nothing
-    body = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "h", "words"))).alias("lines"))
+    body = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "h", "words", "row"))).alias("lines"))
     body = cut(body)
-    pairs = shared.where("first < doc_id").select("doc_id", "first").distinct()
-    both = pairs.join(body.select("doc_id", F.col("lines").alias("own")), "doc_id").join(body.select(F.col("doc_id").alias("first"), F.col("lines").alias("other")), "first")
+
+    def run_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, found = [], []
+            for d, own in zip(b.column("doc_id").to_pylist(), b.column("lines").to_pylist(), strict=True):
+                for mine in by_row(own):
+                    keys = runs([p["at"] for p in mine], [p["h"] for p in mine], [p["words"] for p in mine], least_words)
+                    ids += [d] * len(keys)
+                    found += keys
+            key, lo, hi = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, key, lo, hi)], ["doc_id", "key", "lo", "hi"])
+
+    held = cut(body.mapInArrow(run_keys, "doc_id long, key long, lo long, hi long"))
+    begun = cut(held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"))
+    held = cut(held.join(begun, "key").select("doc_id", "key", "lo", "hi", "first"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, gone = [], []
             for d, own, other in zip(b.column("doc_id").to_pylist(), b.column("own").to_pylist(), b.column("other").to_pylist(), strict=True):
-                x, y = [p["h"] for p in other], [p["h"] for p in own]
-                at = [p["at"] for p in own]
-                matches = patience(x, y)
-                # neighbours among shared lines are a block only if they are neighbours in the texts
-                spread = [(other[i]["at"], at[j]) for i, j in matches]
-                words = {at[j]: own[j]["words"] for _, j in matches}
-                for line in blocks(spread, words, least_words):
-                    ids.append(d)
-                    gone.append(line)
+                for mine, theirs in product(by_row(own), by_row(other)):
+                    at = [p["at"] for p in mine]
+                    matches = patience([p["h"] for p in theirs], [p["h"] for p in mine])
+                    # neighbours among shared lines are a block only if they are neighbours in the texts
+                    spread = [(theirs[i]["at"], at[j]) for i, j in matches]
+                    words = {at[j]: mine[j]["words"] for _, j in matches}
+                    for line in blocks(spread, words, least_words):
+                        ids.append(d)
+                        gone.append(line)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "at"])
 
-    gone = both.mapInArrow(align, "doc_id long, at long").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gone"))
+    later = held.where("first < doc_id")
+    pairs = later.select("doc_id", "first").distinct()
+    both = pairs.join(body.select("doc_id", F.col("lines").alias("own")), "doc_id").join(body.select(F.col("doc_id").alias("first"), F.col("lines").alias("other")), "first")
+    gone = cut(both.mapInArrow(align, "doc_id long, at long").distinct())
+    # a run of which a line is left is aligned by itself with the next holder, which it always fits, so that is enough of them
+    lost = gone.groupBy("doc_id").agg(F.collect_set("at").alias("lost"))
+    left = later.join(lost.hint("merge"), "doc_id", "left").where(F.col("lost").isNull() | F.exists(F.sequence("lo", "hi"), lambda x: ~F.array_contains("lost", x)))
+    left = cut(left.select("doc_id", "key", "lo", "hi"))
+    second = cut(later.join(left.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("second")))
+    more = left.join(second, "key").where("second < doc_id").select("doc_id", F.explode(F.sequence("lo", "hi")).alias("at"))
+    gone = gone.union(more).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gone"))
     joined = docs.join(gone.hint("merge"), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     split = F.split(text, "\n", -1)

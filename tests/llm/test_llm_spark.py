@@ -246,6 +246,25 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicated(table(spark, docs)).count() == len(docs) and line_dedup.deduplicated(table(spark, [])).count() == 0
 
 
+def test_line_dedup_meets_every_holder(spark):
+    a, b, c = ("%s is a line of more than five words" % x for x in ("Alpha", "Beta", "Gamma"))
+    # in another order than in the first holder, but in line with the second
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.deduplicated(table(spark, [(1, f"{a}\n{b}"), (2, f"{b}\n{a}"), (3, f"{b}\nown\n{a}")])).collect()}
+    assert got == {1: 0, 2: 1, 3: 2}
+    # short lines with a first holder each, together in a third document only
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.deduplicated(table(spark, [(1, "one two three"), (2, "four five six"), (3, "one two three\nfour five six"), (4, "x\none two three\nfour five six\ny")])).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 2}
+    # common lines in line with the 10th holder only; lines that are repeated in both
+    docs = [(i, f"{a}\n{i}\n{b}\n{c}") for i in range(9)] + [(9, f"{c}\n{b}\n{a}"), (10, f"{c}\nx\n{b}\ny\n{a}")]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.deduplicated(table(spark, docs)).collect()}
+    assert got[10] == 3
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.deduplicated(table(spark, [(1, f"p\n{a}\n{b}\n{a}\n{b}\nq"), (2, f"r\n{a}\n{b}\n{a}\n{b}\ns")])).collect()}
+    assert got == {1: 0, 2: 4}
+    # rows that share an id have runs of their own
+    got = line_dedup.deduplicated(table(spark, [(1, "one two three\nfour five six"), (2, "one two three\nfour five six"), (2, "four five six\none two three")])).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 2, 2]
+
+
 def test_warc_derivatives(spark):
     p = spark.createDataFrame([(1, "http://a/", "<p>x</p>"), (None, None, None), (2, "http://b\r\nX: y/", "")], "page_id long, url string, html string").withColumn("record", F.lit(1))
     rows = warc.derivatives(p).collect()
