@@ -12,6 +12,7 @@ Rows of a written folder: ``part`` and ``seq`` (the order of blocks), ``n_docs``
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from loresift.llm.common import need, session, shared_dir, small_batches
 END = 0
 #: Words whose ids a worker remembers.
 REMEMBERED = 1_200_000
+#: A space beside other white space; ``\\s`` has all that the tokenizer's own pattern takes for white space, and U+001C to U+001F.
+_RUN = re.compile(r" \s|\s ")
 BLOCKS = "part int, seq int, n_docs long, n_tokens long, doc_ids binary, lengths binary, body binary"
 
 
@@ -42,8 +45,9 @@ def default_tokenizer() -> str:
 class Encoder:
     """The tokenizers library behind a memory of words.
 
-    Byte-level BPE never joins what stands before a single space with that space, so a text is cut before
-    its single spaces, and each distinct piece is encoded once.  A text with a run of spaces is encoded whole.
+    Byte-level BPE never joins what stands before a single space with that space, unless other white space stands
+    next to it, so a text is cut before its single spaces, and each distinct piece is encoded once.  A text with a space
+    beside any white space, U+00A0 and the like too, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -89,7 +93,7 @@ class Encoder:
             self._forget()
         heads, at = [], []
         for t in texts:
-            if not t or not self.cuts or "  " in t or any(s in t for s in self.special):
+            if not t or not self.cuts or _RUN.search(t) or any(s in t for s in self.special):
                 heads.append(self._whole(t) if t else self.ids[:0])
                 at.append([])
             else:

@@ -207,6 +207,15 @@ def test_encoder_is_the_library(spark):
             assert got.tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_is_the_library_beside_other_white_space():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(token_output.default_tokenizer())
+    enc = token_output.Encoder(token_output.default_tokenizer())
+    texts = [f"a{pad}b" for s in "\u00a0\u2003\u3000\u0085\n\t\x1c" for pad in (f" {s} {s} ", f" {s}" * 4 + " ", f"{s} {s}", f" {s}", f"{s} ")]
+    assert [x.tolist() for x in enc.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_chat_collapse(spark):
     c = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "x"), (4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, "user", "c"), (5, 3, "user", "q<|im_end|>"), (5, 3, "user", "q<|im_end|>"), (None, 0, "user", "lost"), (6, None, None, None)]
     c += [(7, i, "user", f"t{i}") for i in range(200)] + [(8, i, "user", f"t{i}") for i in range(199)]
