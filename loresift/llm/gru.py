@@ -167,12 +167,12 @@ def log_likelihood(p: dict, rows: np.ndarray, off: np.ndarray, layout: Layout) -
 
 
 class Trainer:
-    """Adagrad on windows; ``stride``: a gradient is taken in every such window, the state runs through all."""
+    """Adagrad, with a gradient in every window."""
 
-    def __init__(self, params: dict[str, np.ndarray], layout: Layout, rate: float = 0.05, stride: int = 1):
+    def __init__(self, params: dict[str, np.ndarray], layout: Layout, rate: float = 0.05):
         self.p = {k: v.copy() for k, v in params.items()}
         self.g2 = {k: np.full_like(v, 1e-9) for k, v in params.items()}
-        self.layout, self.rate, self.stride, self.tokens = layout, rate, stride, 0
+        self.layout, self.rate, self.tokens = layout, rate, 0
 
     def _step(self, name: str, grad: np.ndarray, where: object = slice(None)) -> None:
         g2 = self.g2[name][where] + grad * grad
@@ -183,14 +183,13 @@ class Trainer:
         run, p, lay = Pass(rows, off, self.layout, lanes), self.p, self.layout
         h = np.zeros((run.grid.shape[1], p["U"].shape[0]), _F)
         last = np.full(run.grid.shape[1], lay.start, np.int32)
-        for w, (t, end, n) in enumerate(run.windows()):
+        for t, end, n in run.windows():
             y, first = run.grid[t:end, :n], run.first[t:end, :n]
             x = np.where(first, lay.start, np.concatenate((last[None, :n], y[:-1])))
             keep = (~first)[:, :, None].astype(_F)
             before, after, z, c = _forward(p, x, keep, h[:n])
             real = (np.arange(t, end)[:, None] < run.fill[None, :n]).ravel()
-            if w % self.stride == 0 or n < lanes // 2:
-                self._backward(x, y, keep, before, after, z, c, real)
+            self._backward(x, y, keep, before, after, z, c, real)
             h[:n], last[:n] = after[-1], y[-1]
             self.tokens += int(real.sum())
 

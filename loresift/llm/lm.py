@@ -4,7 +4,7 @@ The corpus is counted first: every word of every training document.  The most fr
 and have output units of their own; all others fall into tail classes by their endings, and within one a word has its
 add-half share of the class's counts, one unknown word included.  The recurrent model (``gru``) predicts classes and head
 words.  It starts from a bounded sample in the driver, then every partition trains a replica on all of its training
-documents, with a gradient in every ``STRIDE``-th window, and the replicas are averaged by tokens.
+documents, with a gradient in every window, and the replicas are averaged by tokens.
 
 Counts of the ``KNOWN`` most frequent words travel with the code, bounded; rarer words of a document are joined
 with the table of counts.
@@ -32,8 +32,6 @@ HEAD, HEAD_CLASSES, TAIL_CLASSES = 1024, 32, 64
 KNOWN = 100_000
 #: Documents that the start in the driver learns from at most, and their tokens.
 START_DOCS, START_TOKENS = 800, 400_000
-#: A gradient is taken in every such window of a document; the state runs through all.
-STRIDE = 2
 #: Tokens after which training starts with an empty state again; scoring never does.
 SEGMENT = 1_500
 #: Texts of more tokens are handled together, apart from the others.
@@ -213,7 +211,7 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
 
     def replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p, g2 = shared.value
-        rows, t = Rows(v), gru.Trainer(p, v.layout, rate=0.02, stride=STRIDE)
+        rows, t = Rows(v), gru.Trainer(p, v.layout, rate=0.02)
         t.g2 = {k: x.copy() for k, x in g2.items()}
         for _, texts in _groups(batches, TRAIN_TOKENS):
             row, _, off = _flat(rows, texts)

@@ -175,6 +175,18 @@ def test_lm_beats_the_base_on_held_out_documents(spark):
     assert rows["sum(score)"] > rows["sum(base_score)"] * 0.97
 
 
+def test_lm_takes_a_gradient_of_every_token(spark, monkeypatch):
+    docs = table(spark, [(i, " ".join(f"w{i * j % 50}" for j in range(100))) for i in range(200)])
+    made, was = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: (made.append(f), was(self, f, *a, **k))[1])
+    lm.train(docs, lm.vocabulary(lm.word_counts(docs)))
+    (replica,) = [f for f in made if f.__name__ == "replica"]
+    learned = []
+    monkeypatch.setattr(lm.gru.Trainer, "_backward", lambda self, *a: learned.append(int(a[-1].sum())))
+    list(replica(docs.select("doc_id", F.col("text").cast("binary")).toArrow().to_batches()))
+    assert sum(learned) == 200 * 101
+
+
 def test_token_blocks_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
