@@ -70,7 +70,7 @@ def _rake_wide(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) ->
     for i in range(rounds):
         for a in AXES:
             have = w.groupBy(a).agg(F.sum("w").alias("have"))
-            w = w.join(have.join(targets[a], a), a).withColumn("w", F.when(F.col("have") > 0, F.col("w") * F.col("share") / F.col("have")).otherwise(0.0)).drop("have", "share")
+            w = w.join(have.join(targets[a], a, "left").na.fill(0.0, ["share"]), a).withColumn("w", F.when(F.col("have") > 0, F.col("w") * F.col("share") / F.col("have")).otherwise(0.0)).drop("have", "share")
         w = cut(w)
     return w
 
@@ -93,8 +93,8 @@ def calibrated(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | No
                 wide[a] = raised.crossJoin(F.broadcast(raised.agg(F.sum("p").alias("whole")))).select(a, (F.col("p") / F.col("whole")).alias("share"))  # one row
         w = _rake_wide(cells.where("tokens > 0"), wide, rounds).withColumn("rate", F.col("w") / F.col("tokens"))
         top = w.agg(F.max("rate").alias("top"))
-        w = w.crossJoin(F.broadcast(top)).select(*AXES, (F.col("rate") / F.col("top")).alias("p"))  # one row
-        return cells.select(*AXES).join(w, list(AXES), "left").select(*AXES, F.coalesce("p", F.lit(1.0)).alias("prob"))
+        w = w.crossJoin(F.broadcast(top)).select(*AXES, (F.col("rate") / F.greatest("top", F.lit(1e-300))).alias("p"))  # one row
+        return cells.select(*AXES, "tokens").join(w, list(AXES), "left").select(*AXES, F.when(F.col("tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(1.0).alias("prob"))
     rows = sorted((r["source"], r["lang"], r["topic"], int(r["tokens"])) for r in cells.collect())
     tokens = np.array([r[3] for r in rows], float)
     codes, shares = [], []

@@ -313,6 +313,13 @@ def test_mixing_meets_its_targets(spark):
     assert len(both) == len(small) == len(wide) and np.allclose(both.prob_x, both.prob_y, atol=1e-6)
 
 
+def test_mixing_wide_leaves_missing_groups_out(spark):
+    cells = spark.createDataFrame([(s, x, "prose", 10 * (i + 1)) for i, (s, x) in enumerate((s, x) for s in ("s0", "s1", "s2") for x in ("en", "de"))] + [("s3", "en", "prose", 0)], "source string, lang string, topic string, tokens long")
+    for targets in ({"source": {"s0": 0.6, "s1": 0.4}}, {"source": {"s0": 1.0}, "lang": {"de": 1.0}}, {"source": {}}):
+        wide, small = (mixing.calibrated(cells, targets, rounds=3, max_cells=n).toPandas().set_index(list(mixing.AXES)).prob.sort_index() for n in (1, 100))
+        assert np.allclose(wide, small, atol=1e-6) and wide["s2", "en", "prose"] == 0 and wide["s3", "en", "prose"] == 1
+
+
 def test_spotsigs_edited(spark):
     docs = [(5, "the quick brown fox"), (9, "é" * 7), (1, "Of mice and men, of war"), (3, None), (4, "")]
     got = {r["doc_id"]: r for r in spotsigs.edited(table(spark, docs)).collect()}
