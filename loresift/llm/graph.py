@@ -36,5 +36,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     found = e.groupBy("x").agg(F.min("y").alias("component")).select(F.col("x").alias("node"), "component")
     return found.union(e.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct())

@@ -108,6 +108,11 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_that_have_not_settled_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), most_rounds=1)
+
+
 def test_decontamination_finds_substituted_passages(spark):
     rng = random.Random(2)
     vocab = [f"v{i}" for i in range(3000)]
