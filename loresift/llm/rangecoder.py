@@ -1,12 +1,13 @@
 """Adaptive context-mixing range coder for token ids, vectorised over lanes.
 
 A block's ids are cut into lanes of equal length that are coded side by side with one model, which starts
-empty in every block.  Three predictions are mixed: the id that last followed the previous two ids (order 2),
-the one that last followed the previous id (order 1), and the adaptive frequencies of all ids (order 0).
-How much each order gets depends on how sure orders 1 and 2 have been in their contexts, and is learned from
-how often they were right at that sureness.  The mixture drives a carry-less range coder per lane.
+empty in every block.  Three orders are mixed.  Order 0 is the adaptive frequency of every id.  A context of order 1
+(the last id) or order 2 (the last two, hashed, with a tag that tells other contexts apart) holds the ids that followed it,
+``SLOTS`` of them at most, with counts.  How much each of them gets, and how much order 0 keeps, is learned from how often
+candidates with such counts were right, for order 1 given what order 2 knows.  The mixture drives a carry-less
+range coder in every lane.
 
-Block layout, little-endian: magic ``TKC1``, ids (u32), lanes (u32), crc32 of the ids as u32 (u32), crc32
+Block layout, little-endian: magic ``TKC2``, ids (u32), lanes (u32), crc32 of the ids as u32 (u32), crc32
 of all the rest of the block (u32), 16-bit words of each lane (u32 each), then the words of lane 0, lane 1, ...
 """
 
@@ -17,91 +18,172 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TKC1"
+MAGIC = b"TKC2"
 _HEAD = struct.Struct("<4sIIII")
 #: Ids a block aims at; lanes at most; ids a lane has at least.
-BLOCK_IDS, LANES, LANE_IDS = 1 << 20, 4096, 64
+BLOCK_IDS, LANES, LANE_IDS = 1 << 20, 4096, 256
+#: Successors that a context of order 1, and one of order 2, remembers.
+SLOTS = (3, 2)
+MOST_IDS = 1 << 17
 _F_BITS, _W_BITS = 18, 12
 _TOTAL_BITS = _F_BITS + _W_BITS
-_HASH_BITS = 18
-_SURE = 7  # highest sureness of a context
-_EVERY = 8  # steps between two rebuilds of the order-0 frequencies
+_HASH_BITS, _TAG_BITS, _COUNT_BITS = 18, 10, 4
+_MOST = (1 << _COUNT_BITS) - 1
+_EVERY = 8  # steps between two rebuilds of the order-0 frequencies and the weights
+_LEARN = 4  # steps between two lessons of the weights, but for the first ones
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _S16, _S48, _SR = np.uint64(16), np.uint64(48), np.uint64(_TOTAL_BITS)
 _MASK = np.uint64((1 << 32) - 1)
+#: Comparators that sort five columns.
+_NETWORK = ((0, 1), (3, 4), (2, 4), (2, 3), (0, 3), (0, 2), (1, 4), (1, 3), (1, 2))
 
 
 class Model:
     """What coder and decoder learn alike, step by step."""
 
     def __init__(self, size: int, lanes: int):
-        if not 0 < size <= 1 << 16:
-            raise ValueError("ids must be in 0..65535")
+        if not 0 < size <= MOST_IDS:
+            raise ValueError(f"ids must be in 0..{MOST_IDS - 1}")
         self.size = size
-        self.counts = np.zeros(size + 1, np.int64)
+        self.counts = np.zeros(size, np.int64)
         self.cum = np.zeros(size + 1, np.int64)
         self.total = 0
-        self.pred1, self.sure1 = np.zeros(size, np.int32), np.zeros(size, np.int8)
-        self.pred2, self.sure2 = np.zeros(1 << _HASH_BITS, np.int32), np.zeros(1 << _HASH_BITS, np.int8)
-        self.hits = np.tile(np.array([24.0, 4.0, 4.0]), ((_SURE + 1) ** 2, 1))
+        k1, k2 = SLOTS
+        kind = np.int32 if size <= 1 << 16 else np.int64
+        self.id_bits = 16 if size <= 1 << 16 else 17
+        # an entry is tag, id and count, packed
+        self.first = [np.zeros(size, kind) for _ in range(k1)]
+        self.second = [np.zeros(1 << _HASH_BITS, kind) for _ in range(k2)]
+        self.kind = kind
+        n = _MOST + 1
+        guess = (np.arange(n) + 0.2) / (np.arange(n) + 2.0)
+        # (right, tried) by count; for order 1 by the strongest count of order 2, for none right by both
+        self.right2, self.tried2 = guess * 0.6 * 32, np.full(n, 32.0)
+        self.right1, self.tried1 = np.tile(guess * 0.4 * 8, n), np.full(n * n, 8.0)
+        self.none, self.asked = np.full(n * n, 6.0), np.full(n * n, 8.0)
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.slots: np.ndarray | None = None
         self.fresh: list[np.ndarray] = []  # ids that the frequencies don't count yet
         self.step = 0
 
     def begin(self, want_slots: bool) -> None:
-        """Rebuilds the order-0 frequencies and the mixing weights, every few steps."""
+        """Rebuilds the order-0 frequencies and the weights, every few steps."""
         if self.step % _EVERY == 0 or self.step < 4:
             if self.fresh:
-                self.counts[:-1] += np.bincount(np.concatenate(self.fresh), minlength=self.size)
+                self.counts += np.bincount(np.concatenate(self.fresh), minlength=self.size)
                 self.fresh = []
             spare = (1 << _F_BITS) - self.size
             if self.total:
-                np.cumsum(self.counts[:-1], out=self.cum[1:])
+                np.cumsum(self.counts, out=self.cum[1:])
                 self.cum[:] = (self.cum * (spare / self.total)).astype(np.int64)
             else:
                 self.cum[:] = np.arange(self.size + 1) * spare // self.size
             self.cum += np.arange(self.size + 1)
             self.cum[-1] = 1 << _F_BITS
             if want_slots:
-                self.slots = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.cum))
-            share = self.hits / self.hits.sum(axis=1, keepdims=True)
-            w = 1 + (share * ((1 << _W_BITS) - 3)).astype(np.int64)  # each order keeps at least 1, so every id can be coded
-            w[:, 0] = (1 << _W_BITS) - w[:, 1] - w[:, 2]
-            self.weights = w << np.array([0, _F_BITS, _F_BITS])
+                self.slots = np.repeat(np.arange(self.size, dtype=np.int64), np.diff(self.cum))
+            self.rate1, self.rate2 = (self.right1 / self.tried1).astype(np.float32), (self.right2 / self.tried2).astype(np.float32)
+            self.escape = (self.none / self.asked).astype(np.float32)
         self.step += 1
 
-    def contexts(self) -> tuple[np.ndarray, ...]:
-        """(order-2 slot, prediction 1, prediction 2, sureness 1, sureness 2) for every lane."""
-        slot = ((self.prev2 * 40503 + self.prev1 * 2654435) >> 3) & ((1 << _HASH_BITS) - 1)
-        return slot, self.pred1[self.prev1], self.pred2[slot], self.sure1[self.prev1], self.sure2[slot]
+    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(candidates, weights, weight of order 0) of every lane; candidates of order 1 come first.
 
-    def learn(self, ids: np.ndarray, slot: np.ndarray, p1: np.ndarray, p2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> None:
-        hit2, hit1 = ids == p2, ids == p1
-        kind = np.where(hit2, 2, hit1.view(np.int8))
-        self.hits += np.bincount(_bucket(s1, s2) * 3 + kind, minlength=self.hits.size).reshape(self.hits.shape)
-        self.fresh.append(ids)
-        self.total += len(ids)
-        for pred, sure, at, s, hit in ((self.pred1, self.sure1, self.prev1, s1, hit1), (self.pred2, self.sure2, slot, s2, hit2)):
-            sure[at] = np.where(hit, np.minimum(s + 1, _SURE), s >> 1)
-            new = np.flatnonzero(~hit & (s == 0))
-            pred[at[new]] = ids[new]
-        self.prev2, self.prev1 = self.prev1, ids
+        The weights of a lane add up to ``1 << _W_BITS``.
+        """
+        mixed = self.prev2 * 0x9E3779B1 + self.prev1 * 0x85EBCA6B
+        self.at2 = (mixed >> 11) & ((1 << _HASH_BITS) - 1)
+        tag = ((mixed >> (11 + _HASH_BITS)) & ((1 << _TAG_BITS) - 1)).astype(self.kind)
+        self.mark = tag << (self.id_bits + _COUNT_BITS)
+        k1, k2 = SLOTS
+        self.held = np.empty((k1 + k2, len(self.prev1)), self.kind)
+        for k, t in enumerate(self.first):
+            self.held[k] = t[self.prev1]
+        for k, t in enumerate(self.second):
+            self.held[k1 + k] = t[self.at2]
+        self.count = self.held & _MOST
+        own = (self.held[k1:] >> (self.id_bits + _COUNT_BITS)) == tag
+        self.count[k1:] *= own
+        ids = (self.held >> _COUNT_BITS) & ((1 << self.id_bits) - 1)
+        self.best2 = self.count[k1].copy()
+        for k in range(k1 + 1, k1 + k2):
+            np.maximum(self.best2, self.count[k], out=self.best2)
+        best1 = self.count[0].copy()
+        for k in range(1, k1):
+            np.maximum(best1, self.count[k], out=best1)
+        row = (self.best2 << _COUNT_BITS).astype(np.int64)
+        self.state1 = row + self.count[:k1]
+        self.state2 = self.count[k1:].astype(np.int64)
+        self.both = row + best1
+        rate = np.empty(self.held.shape, np.float32)
+        rate[:k1], rate[k1:] = self.rate1[self.state1], self.rate2[self.state2]
+        rate *= self.count > 0  # an empty place predicts nothing
+        whole = _added(rate)
+        left = self.escape[self.both]
+        share = (1 - left) * np.float32((1 << _W_BITS) - 4) / np.maximum(whole, np.float32(1e-6))
+        rate *= share
+        w = rate.astype(np.int32)
+        w0 = (1 << _W_BITS) - _added(w).astype(np.int64)  # at least 4, so every id can be coded
+        return ids, w, w0
 
+    def learn(self, sym: np.ndarray, right: np.ndarray) -> None:
+        """``right``: which candidates were the id."""
+        k1 = SLOTS[0]
+        right = right & (self.count > 0)
+        if self.step % _LEARN == 0 or self.step < 16:
+            n = _MOST + 1
+            self.tried1 += np.bincount(self.state1.ravel(), minlength=n * n)
+            self.right1 += np.bincount(self.state1[right[:k1]], minlength=n * n)
+            self.tried2 += np.bincount(self.state2.ravel(), minlength=n)
+            self.right2 += np.bincount(self.state2[right[k1:]], minlength=n)
+            self.asked += np.bincount(self.both, minlength=n * n)
+            self.none += np.bincount(self.both[~right.any(axis=0)], minlength=n * n)
+        self.fresh.append(sym)
+        self.total += len(sym)
+        entry = (sym.astype(self.kind) << _COUNT_BITS) + 1
+        self._put(self.first, self.prev1, self.held[:k1], self.count[:k1], right[:k1], entry)
+        # an entry of another context counts as empty, and what is left is marked as this one's
+        body = self.held[k1:] & ((1 << (self.id_bits + _COUNT_BITS)) - 1)
+        body -= (body & _MOST) - self.count[k1:]
+        self._put(self.second, self.at2, body + self.mark, self.count[k1:], right[k1:], entry + self.mark)
+        self.prev2, self.prev1 = self.prev1, sym
 
-def _bucket(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
-    return s2.astype(np.int64) * (_SURE + 1) + s1
+    @staticmethod
+    def _put(tables: list[np.ndarray], at: np.ndarray, held: np.ndarray, count: np.ndarray, right: np.ndarray, entry: np.ndarray) -> None:
+        """Counts the candidates that were right; if none was, the weakest place loses a count or, if it is empty, takes the id."""
+        slots = len(tables)
+        order = count * slots + np.arange(slots, dtype=count.dtype)[:, None]
+        least = order[0].copy()
+        for k in range(1, slots):
+            np.minimum(least, order[k], out=least)
+        missed = ~np.logical_or.reduce(right)
+        swap = missed & (least < slots)
+        fade = missed ^ swap
+        grown = right & (count < _MOST)
+        for k, t in enumerate(tables):
+            mine = order[k] == least
+            new = held[k] + grown[k]
+            new -= mine & fade
+            new += (mine & swap) * (entry - new)
+            t[at] = new
 
 
-def _spikes(m: Model, p1: np.ndarray, p2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(weight of order 0, lower id, its spike, higher id, its spike): spikes lie on the order-0 steps; of equal ids the lower has both."""
-    w = m.weights[_bucket(s1, s2)]
-    w1, w2 = w[:, 1], w[:, 2]
-    swap = p1 > p2
-    a, b = np.minimum(p1, p2), np.maximum(p1, p2)
-    wa, wb = np.where(swap, w2, w1), np.where(swap, w1, w2)
-    same = a == b
-    return w[:, 0], a, wa + wb * same, b, wb * ~same
+def _added(x: np.ndarray) -> np.ndarray:
+    """The sum of a few rows, in a fixed order."""
+    out = x[0] + x[1]
+    for row in x[2:]:
+        out += row
+    return out
+
+
+def _stretch(m: Model, sym: np.ndarray, found: np.ndarray, w: np.ndarray, w0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start and width of the ids' stretches, which candidates they are)."""
+    s = sym.astype(found.dtype)
+    right = found == s
+    c = m.cum[sym]
+    start = w0 * c + (_added(w * (found < s)).astype(np.int64) << _F_BITS)
+    width = w0 * (m.cum[sym + 1] - c) + (_added(w * right).astype(np.int64) << _F_BITS)
+    return start.view(np.uint64), width.view(np.uint64), right
 
 
 def encode(ids: np.ndarray, size: int = 1 << 16) -> bytes:
@@ -110,46 +192,50 @@ def encode(ids: np.ndarray, size: int = 1 << 16) -> bytes:
     n = len(ids)
     lanes = max(1, min(LANES, n // LANE_IDS))
     steps = -(-n // lanes)
-    grid = np.concatenate((ids, np.zeros(lanes * steps - n, np.int64))).reshape(lanes, steps).T
+    grid = np.ascontiguousarray(np.concatenate((ids, np.zeros(lanes * steps - n, np.int64))).reshape(lanes, steps).T)
     m = Model(size, lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     lane, word, every = [], [], np.arange(lanes, dtype=np.int32)
     for sym in grid:
         m.begin(False)
-        slot, p1, p2, s1, s2 = m.contexts()
-        w0, a, wa, b, wb = _spikes(m, p1, p2, s1, s2)
-        c = m.cum[sym]
-        start = w0 * c + wa * (a < sym) + wb * (b < sym)
-        width = w0 * (m.cum[sym + 1] - c) + wa * (a == sym) + wb * (b == sym)
+        found, w, w0 = m.look()
+        start, width, right = _stretch(m, sym, found, w, w0)
         r = rng >> _SR
-        low = low + start.astype(np.uint64) * r
-        rng = width.astype(np.uint64) * r
+        low += start * r
+        rng = width * r
         while True:
             same = (low ^ (low + rng)) < _TOP
             tight = rng < _BOT
-            out = same | tight
-            if not out.any():
+            at = np.flatnonzero(same | tight)
+            if not len(at):
                 break
-            at = np.flatnonzero(out)
-            cut = tight & ~same
-            if cut.any():
+            cut = np.flatnonzero(tight & ~same)
+            if len(cut):
                 rng[cut] = (~low[cut] + np.uint64(1)) & _MASK
             x = low[at]
             lane.append(every[at])
             word.append((x >> _S48).astype(np.uint16))
             low[at] = x << _S16
-            rng[at] = rng[at] << _S16
-        m.learn(sym, slot, p1, p2, s1, s2)
+            rng[at] <<= _S16
+        m.learn(sym, right)
     for shift in (48, 32, 16, 0):
         lane.append(every)
         word.append((low >> np.uint64(shift)).astype(np.uint16))
     lane, word = np.concatenate(lane), np.concatenate(word)
-    order = np.argsort(lane, kind="stable")
+    order = np.argsort(lane.astype(np.uint16), kind="stable")
     body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word[order].astype("<u2").tobytes()
     head = _HEAD.pack(MAGIC, n, lanes, zlib.crc32(ids.astype("<u4").tobytes()), 0)
     return head[:-4] + struct.pack("<I", zlib.crc32(body, zlib.crc32(head[:-4]))) + body
 
 
+def _sorted(found: np.ndarray, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Candidates in ascending order and what each adds, a column for each place."""
+    columns = list((found.astype(np.int64) << (_W_BITS + 1)) + w)
+    for i, j in _NETWORK:
+        columns[i], columns[j] = np.minimum(columns[i], columns[j]), np.maximum(columns[i], columns[j])
+    return [(c >> (_W_BITS + 1), (c & ((1 << (_W_BITS + 1)) - 1)) << _F_BITS) for c in columns]
+
+
 def decode(block: bytes, size: int = 1 << 16) -> np.ndarray:
     """The ids of a block; a damaged one raises ``ValueError``."""
     if len(block) < _HEAD.size:
@@ -172,39 +258,30 @@ def decode(block: bytes, size: int = 1 << 16) -> np.ndarray:
     top = np.uint64((1 << _TOTAL_BITS) - 1)
     for t in range(steps):
         m.begin(True)
-        slot, p1, p2, s1, s2 = m.contexts()
-        w0, a, wa, b, wb = _spikes(m, p1, p2, s1, s2)
+        found, w, w0 = m.look()
         r = rng >> _SR
-        v = np.minimum((code - low) // r, top).astype(np.int64)
-        # below the lower spike, in it, between, in the higher one, or above
-        end_a = w0 * m.cum[a + 1] + wa
-        in_a, above = (v >= w0 * m.cum[a]) & (v < end_a), v >= end_a
-        v -= wa * above
-        end_b = w0 * m.cum[b + 1] + wb
-        in_b = above & (v >= w0 * m.cum[b]) & (v < end_b)
-        v -= wb * (above & (v >= end_b))
-        sym = m.slots[np.minimum(v // w0, (1 << _F_BITS) - 1)]
-        sym = np.where(in_a, a, np.where(in_b, b, sym)).astype(np.int64)
-        c = m.cum[sym]
-        start = w0 * c + wa * (a < sym) + wb * (b < sym)
-        width = w0 * (m.cum[sym + 1] - c) + wa * (a == sym) + wb * (b == sym)
-        low = low + start.astype(np.uint64) * r
-        rng = width.astype(np.uint64) * r
+        v = np.minimum((code - low) // r, top).view(np.int64)
+        # up the candidates: what those below added is taken off, and what lies in one's own stretch ends as its last step
+        for who, add in _sorted(found, w):
+            np.maximum(np.minimum(v, w0 * m.cum[who + 1] - 1), v - add, out=v)
+        sym = m.slots[v.view(np.uint64) // w0.view(np.uint64)]
+        start, width, right = _stretch(m, sym, found, w, w0)
+        low += start * r
+        rng = width * r
         while True:
             alike = (low ^ (low + rng)) < _TOP
             tight = rng < _BOT
-            more = alike | tight
-            if not more.any():
+            i = np.flatnonzero(alike | tight)
+            if not len(i):
                 break
-            i = np.flatnonzero(more)
-            cut = tight & ~alike
-            if cut.any():
+            cut = np.flatnonzero(tight & ~alike)
+            if len(cut):
                 rng[cut] = (~low[cut] + np.uint64(1)) & _MASK
             code[i] = (code[i] << _S16) | words[at[i]]
             at[i] += 1
-            low[i] = low[i] << _S16
-            rng[i] = rng[i] << _S16
-        m.learn(sym, slot, p1, p2, s1, s2)
+            low[i] <<= _S16
+            rng[i] <<= _S16
+        m.learn(sym, right)
         out[t] = sym
     ids = out.T.ravel()[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:

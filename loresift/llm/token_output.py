@@ -3,16 +3,17 @@
 Documents are sorted by id over range partitions; each task encodes its texts with a public tokenizer, ends every
 document with the id 0 and writes blocks of whole documents, coded by ``rangecoder``, through Spark's own
 writer: one row for each block in a Parquet container, so that a lost executor only repeats its task and any file system
-that Spark knows will do.  Reading checks both checksums of every block and gives back each document's ids.
+that Spark knows will do.  Reading checks the checksums of every block and gives back each document's ids.
 
-Rows of a written folder: ``part`` and ``seq`` (the order of blocks), ``n_docs``, ``n_tokens``, ``doc_ids`` and
-``lengths`` (little-endian 64 and 32-bit integers) and ``body``, a block as ``rangecoder`` describes it.
+Rows of a written folder: ``part`` and ``seq`` (the order of blocks), ``before`` (ids of the part's earlier blocks),
+``n_docs``, ``n_tokens``, ``doc_ids`` and ``lengths`` (little-endian 64 and 32-bit integers), ``head_crc`` (of all
+of these) and ``body``, a block as ``rangecoder`` describes it.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,9 +31,9 @@ from loresift.llm.common import need, session, shared_dir, small_batches
 END = 0
 #: Words whose ids a worker remembers.
 REMEMBERED = 1_200_000
-#: A space beside other white space; ``\\s`` has all that the tokenizer's own pattern takes for white space, and U+001C to U+001F.
-_RUN = re.compile(r" \s|\s ")
-BLOCKS = "part int, seq int, n_docs long, n_tokens long, doc_ids binary, lengths binary, body binary"
+#: New words that are encoded in one call.
+TOGETHER = 4_096
+BLOCKS = "part int, seq int, before long, n_docs long, n_tokens long, doc_ids binary, lengths binary, head_crc long, body binary"
 
 
 def default_tokenizer() -> str:
@@ -47,7 +48,8 @@ class Encoder:
 
     Byte-level BPE never joins what stands before a single space with that space, unless other white space stands
     next to it, so a text is cut before its single spaces, and each distinct piece is encoded once.  A text with a space
-    beside any white space, U+00A0 and the like too, is encoded whole.
+    beside any white space, U+00A0 and the like too, is encoded whole: one of its pieces is empty, or begins or
+    ends with white space.  ``str.isspace`` has all that the tokenizer's own pattern takes for white space, and more.
     """
 
     def __init__(self, path: str):
@@ -59,31 +61,44 @@ class Encoder:
         kind = self.lib.pre_tokenizer
         self.cuts = kind is not None and "ByteLevel" in str(kind) and "use_regex=True" in str(kind) and self.lib.normalizer is None and self.lib.post_processor is None
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        # in byte-level vocabularies a space is written as this letter; pieces hold it only as their first byte
+        self.spaced = np.zeros(self.size, bool)
+        for token, i in self.lib.get_vocab().items():
+            self.spaced[i] = token.startswith("\u0120")
         self._forget()
 
     def _forget(self) -> None:
         self.known = _Numbered()
         self.ids = np.zeros(1 << 16, np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
+        self.odd = np.zeros(1 << 14, bool)
         self.used = self.n = 0
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.ids.dtype)
+        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.ids.dtype)
 
     def _learn(self) -> None:
-        """Encodes the pieces that were numbered since the last time, each after a space."""
+        """Encodes the pieces that were numbered since the last time, each after a space, many in one call."""
         pieces = self.known.new
-        for lo in range(0, len(pieces), 20_000):
-            found = self.lib.encode_batch_fast([" " + p for p in pieces[lo : lo + 20_000]], add_special_tokens=False)
-            each = [e.ids for e in found]
-            sizes = np.fromiter(map(len, each), np.int64, len(each))
-            used, n = self.used + int(sizes.sum()), self.n + len(each)
+        for lo in range(0, len(pieces), TOGETHER):
+            some = pieces[lo : lo + TOGETHER]
+            odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in some), bool, len(some))
+            good = [p for p, x in zip(some, odd.tolist(), strict=True) if not x] if odd.any() else some
+            got = self._whole(" " + " ".join(good)) if good else self.ids[:0]
+            first = np.flatnonzero(self.spaced[got])  # a piece begins at each space
+            if len(first) != len(good):
+                raise RuntimeError("the tokenizer joined words across a space")
+            sizes = np.zeros(len(some), np.int64)
+            sizes[~odd] = np.diff(np.append(first, len(got)))
+            used, n = self.used + len(got), self.n + len(some)
             while len(self.ids) < used:
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
             while len(self.start) <= n:
                 self.start = np.concatenate((self.start, np.zeros_like(self.start)))
-            self.ids[self.used : used] = np.fromiter(chain.from_iterable(each), self.ids.dtype, int(sizes.sum()))
+                self.odd = np.concatenate((self.odd, np.zeros_like(self.odd)))
+            self.ids[self.used : used] = got
             self.start[self.n + 1 : n + 1] = self.used + np.cumsum(sizes)
+            self.odd[self.n : n] = odd
             self.used, self.n = used, n
         self.known.new = []
 
@@ -93,29 +108,33 @@ class Encoder:
             self._forget()
         heads, at = [], []
         for t in texts:
-            if not t or not self.cuts or _RUN.search(t) or any(s in t for s in self.special):
+            if not t or not self.cuts or any(s in t for s in self.special):
                 heads.append(self._whole(t) if t else self.ids[:0])
-                at.append([])
+                at.append(_NO_PIECES)
             else:
                 head, *rest = t.split(" ")
-                heads.append(self._whole(head) if head else self.ids[:0])
-                at.append(list(map(self.known.__getitem__, rest)))
+                heads.append(head)
+                at.append(np.fromiter(map(self.known.__getitem__, rest), np.int64, len(rest)))
         if self.known.new:
             self._learn()
         out = []
-        for head, places in zip(heads, at, strict=True):
-            if not places:
+        for t, head, k in zip(texts, heads, at, strict=True):
+            if not isinstance(head, str):
                 out.append(head)
-                continue
-            k = np.array(places, np.int64)
-            lo = self.start[k]
-            n = self.start[k + 1] - lo
-            where = np.repeat(lo - np.cumsum(n) + n, n)
-            where += np.arange(len(where))
-            out.append(np.concatenate((head, self.ids[where])))
+            elif (head and head[-1].isspace()) or (len(k) and not head) or self.odd[k].any():
+                out.append(self._whole(t))
+            else:
+                lo = self.start[k]
+                n = self.start[k + 1] - lo
+                where = np.repeat(lo - np.cumsum(n) + n, n)
+                where += np.arange(len(where))
+                out.append(np.concatenate((self._whole(head) if head else self.ids[:0], self.ids[where])))
         return out
 
 
+_NO_PIECES = np.empty(0, np.int64)
+
+
 class _Numbered(dict):
     """Gives a key that it doesn't know the next number, and notes it in ``new``."""
 
@@ -138,6 +157,14 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
+
+
+def head_crc(part: int, seq: int, before: int, n_docs: int, n_tokens: int, doc_ids: bytes, lengths: bytes) -> int:
+    """The checksum of what a row says about its block."""
+    return zlib.crc32(lengths, zlib.crc32(doc_ids, zlib.crc32(struct.pack("<iiqqq", part, seq, before, n_docs, n_tokens))))
+
+
 def blocks(docs: DataFrame, tokenizer: str, partitions: int) -> DataFrame:
     """``BLOCKS`` rows of ``docs(doc_id, text)``, range-partitioned by id; equal ids by their texts' hash."""
 
@@ -146,21 +173,22 @@ def blocks(docs: DataFrame, tokenizer: str, partitions: int) -> DataFrame:
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         texts: list[np.ndarray] = []
-        held = 0
+        held = before = 0
 
         def row() -> pa.RecordBatch:
             lengths = np.array([len(t) for t in texts], "<u4")
             body = rangecoder.encode(np.concatenate(texts), enc.size)
-            values = (part, seq, len(ids), int(lengths.sum()), np.array(ids, "<i8").tobytes(), lengths.tobytes(), body)
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
+            head = (part, seq, before, len(ids), held, np.array(ids, "<i8").tobytes(), lengths.tobytes())
+            values = (*head, head_crc(*head), body)
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], _NAMES)
 
         for b in batches:
             for i, got in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 got = np.append(got, enc.ids.dtype.type(END))
                 if held and held + len(got) > rangecoder.BLOCK_IDS:
                     yield row()
-                    ids, texts, held, seq = [], [], 0, seq + 1
+                    ids, texts, held, before, seq = [], [], 0, before + held, seq + 1
                 ids.append(NULL_ID if i is None else i)
                 texts.append(got)
                 held += len(got)
@@ -197,32 +225,34 @@ def read(spark: SparkSession, path: str, tokenizer: str | None = None, with_ids:
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    places = stored.select("part", "seq", "n_tokens").withColumn("block_start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(totals, "part")
-    places = places.select("part", "seq", (F.col("block_start") + F.col("part_start")).alias("block_start"))
     path_of = tokenizer or default_tokenizer()
-    schema = "doc_id long, part int, seq int, within long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    schema = "doc_id long, part int, within long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = _encoder(path_of).size
         for b in batches:
-            for part, seq, doc_ids, lengths, body in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "doc_ids", "lengths", "body")), strict=True):
-                ids = rangecoder.decode(body, size).astype("<u4")
-                n = np.frombuffer(lengths, "<u4").astype(np.int64)
+            for row in b.to_pylist():
+                if head_crc(*(row[c] for c in _NAMES[:7])) != row["head_crc"]:
+                    raise ValueError(f"block {row['part']}/{row['seq']}: its documents don't match their checksum")
+                ids = rangecoder.decode(row["body"], size).astype("<u4")
+                n = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
                 start = np.concatenate(([0], np.cumsum(n)))
+                if len(ids) != start[-1]:
+                    raise ValueError(f"block {row['part']}/{row['seq']}: {len(ids)} ids for lengths of {start[-1]}")
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * start[k] : 4 * start[k + 1]]) for k in range(len(n))]
-                who = np.frombuffer(doc_ids, "<i8")
-                cols = [pa.array(who, pa.int64(), mask=who == NULL_ID), pa.array(np.full(len(n), part), pa.int32()), pa.array(np.full(len(n), seq), pa.int32()), pa.array(start[:-1]), pa.array(n), pa.array(crc, pa.int64())]
-                names = ["doc_id", "part", "seq", "within", "n_tokens", "ids_crc32"]
+                who = np.frombuffer(row["doc_ids"], "<i8")
+                cols = [pa.array(who, pa.int64(), mask=who == NULL_ID), pa.array(np.full(len(n), row["part"]), pa.int32()), pa.array(start[:-1] + row["before"]), pa.array(n), pa.array(crc, pa.int64())]
+                names = ["doc_id", "part", "within", "n_tokens", "ids_crc32"]
                 if with_ids:
                     cols.append(pa.array([bytes(raw[4 * start[k] : 4 * start[k + 1]]) for k in range(len(n))], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    # few rows, one for each block: the places go to the documents, not the other way round
-    docs = stored.select("part", "seq", "doc_ids", "lengths", "body").mapInArrow(run, schema)
-    return docs.join(places, ["part", "seq"]).select("doc_id", (F.col("block_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    docs = stored.mapInArrow(run, schema)
+    # one small row for each file, which is at most one for each writing task: decoded documents stay where they are
+    joined = docs.join(F.broadcast(totals), "part")
+    return joined.select("doc_id", (F.col("part_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

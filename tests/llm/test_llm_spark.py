@@ -211,6 +211,18 @@ def test_token_blocks_round_trip(spark, tmp_path):
     assert token_output.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_damage_in_what_is_said_of_a_block_is_noticed(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    token_output.write(table(spark, [(i, f"text {i} and more of it") for i in range(20)]), str(tmp_path / "t"))
+    stored = spark.read.schema(token_output.BLOCKS).parquet(str(tmp_path / "t"))
+    swapped = lambda c: F.concat(F.unhex(F.lit("2A")), F.substring(c, 2, 1 << 20))
+    for k, change in enumerate(({"lengths": swapped("lengths")}, {"doc_ids": swapped("doc_ids")}, {"before": F.col("before") + 1}, {"n_docs": F.col("n_docs") + 1})):
+        stored.withColumns(change).write.parquet(str(tmp_path / f"b{k}"))
+        with pytest.raises(PySparkException, match="checksum"):
+            token_output.read(spark, str(tmp_path / f"b{k}")).collect()
+
+
 def test_encoder_is_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -86,6 +86,32 @@ def test_blocks_compress_and_notice_damage():
             rangecoder.decode(bytes(bad), 50257)
     with pytest.raises(ValueError):
         rangecoder.decode(block[:10], 50257)
+    with pytest.raises(ValueError):
+        rangecoder.encode(np.array([0]), rangecoder.MOST_IDS + 1)
+    wide = [0, 100_000, 7, 131_071] * 50
+    assert rangecoder.decode(rangecoder.encode(np.array(wide), 1 << 17), 1 << 17).tolist() == wide
+
+
+def test_successors_of_a_context_are_learned():
+    """An id is one of three given the last: 1.58 bits an id."""
+    rng = np.random.default_rng(0)
+    follow, ids = rng.integers(0, 5000, (5000, 3)), np.zeros(1 << 18, int)
+    which = rng.integers(0, 3, len(ids))
+    for i in range(1, len(ids)):
+        ids[i] = follow[ids[i - 1], which[i]]
+    block = rangecoder.encode(ids, 50257)
+    assert 8 * len(block) / len(ids) < 3 and (rangecoder.decode(block, 50257) == ids).all()
+
+
+def test_weights_of_a_lane_add_up():
+    m = rangecoder.Model(1000, 8)
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        m.begin(False)
+        found, w, w0 = m.look()
+        assert (w.sum(axis=0) + w0 == 4096).all() and (w0 >= 4).all() and (w >= 0).all()
+        sym = rng.integers(0, 5, 8)
+        m.learn(sym, found == sym)
 
 
 def test_gradients_are_those_of_the_loss():
