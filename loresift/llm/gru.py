@@ -44,6 +44,10 @@ class Layout:
         head = np.searchsorted(self.bounds, rows, "right") - 1
         return np.where(rows < self.head, head, rows - self.head + self.head_classes)
 
+    def classes_of_rows(self) -> np.ndarray:
+        """The class of every input row but the start."""
+        return self.class_of(np.arange(self.start)).astype(np.int16)
+
 
 def new_params(layout: Layout, head_weight: np.ndarray, tail_weight: np.ndarray, hidden: int = HIDDEN, seed: int = 7) -> dict[str, np.ndarray]:
     """Small random weights; the output biases start at the classes' and words' frequencies."""
@@ -134,45 +138,67 @@ def _soft(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _with_one(s: np.ndarray) -> np.ndarray:
+    """States with a constant, so that biases are a row of the weights."""
+    out = np.ones((len(s), s.shape[1] + 1), s.dtype)
+    out[:, :-1] = s
+    return out
+
+
+def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[int]]:
+    """(order that sorts tokens by class, where each of the first ``classes`` begins in it, and the last one's end)."""
+    order = np.argsort(cls, kind="stable")
+    return order, np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
+
+
 def log_likelihood(p: dict, rows: np.ndarray, off: np.ndarray, layout: Layout) -> np.ndarray:
     """Natural log of each token's class probability, and for head words of the word's in its class."""
     run = Pass(rows, off, layout)
     out = np.zeros(run.grid.shape, _F)
     h = np.zeros((run.grid.shape[1], p["U"].shape[0]), _F)
     last = np.full(run.grid.shape[1], layout.start, np.int32)
+    class_of, bounds = layout.classes_of_rows(), layout.bounds.tolist()
+    w = np.vstack((p["W"], p["b"]))
+    inside = [np.ascontiguousarray(np.vstack((p["V"][:, a:b], p["v"][a:b] - p["v"][a:b].max()))) for a, b in zip(bounds, bounds[1:])]
     for t, end, lanes in run.windows():
         y = run.grid[t:end, :lanes]
         first = run.first[t:end, :lanes]
         x = np.where(first, layout.start, np.concatenate((last[None, :lanes], y[:-1])))
         _, after, _, _ = _forward(p, x, (~first)[:, :, None].astype(_F), h[:lanes])
         h[:lanes], last[:lanes] = after[-1], y[-1]
-        s, word = after.reshape(-1, after.shape[2]), y.ravel()
-        cls = layout.class_of(word)
-        score = s @ p["W"]
-        score += p["b"]
-        ll = score[np.arange(len(word)), cls]
-        ll -= np.log(_exp_sum(score))
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(layout.head_classes + 1))
+        word = y.ravel()
+        order, ends = _by_class(class_of[word], layout.head_classes)
+        word = word[order]
+        s = _with_one(after.reshape(-1, after.shape[2])[order])
+        score = s @ w
+        ll = score[np.arange(len(word)), class_of[word]]
+        whole = _exp_sum(score)
         for k in range(layout.head_classes):
-            at = order[ends[k] : ends[k + 1]]
-            lo, hi = layout.bounds[k], layout.bounds[k + 1]
-            if len(at) and hi - lo > 1:
-                inner = s[at] @ p["V"][:, lo:hi]
-                inner += p["v"][lo:hi] - p["v"][lo:hi].max()
-                right = inner[np.arange(len(at)), word[at] - lo]
-                ll[at] += right - np.log(_exp_sum(inner))
-        out[t:end, :lanes] = ll.reshape(y.shape)
+            a, b = ends[k], ends[k + 1]
+            if a < b and bounds[k + 1] - bounds[k] > 1:
+                inner = s[a:b] @ inside[k]
+                ll[a:b] += inner[np.arange(b - a), word[a:b] - bounds[k]]
+                whole[a:b] *= _exp_sum(inner)
+        ll -= np.log(whole)
+        back = np.empty(len(word), _F)
+        back[order] = ll
+        out[t:end, :lanes] = back.reshape(y.shape)
     return out[run.place]
 
 
 class Trainer:
-    """Adagrad, with a gradient in every window."""
+    """Adagrad, with a gradient in every window.
+
+    Input rows are changed at once; the other weights when the windows since the last change have half of a full one's tokens.
+    """
 
     def __init__(self, params: dict[str, np.ndarray], layout: Layout, rate: float = 0.05):
         self.p = {k: v.copy() for k, v in params.items()}
         self.g2 = {k: np.full_like(v, 1e-9) for k, v in params.items()}
-        self.layout, self.rate, self.tokens = layout, rate, 0
+        self.layout, self.rate, self.tokens, self.full = layout, rate, 0, 256
+        self.class_of = layout.classes_of_rows()
+        self.waiting: dict[str, np.ndarray] = {}
+        self.waited = 0
 
     def _step(self, name: str, grad: np.ndarray, where: object = slice(None)) -> None:
         g2 = self.g2[name][where] + grad * grad
@@ -181,6 +207,7 @@ class Trainer:
 
     def learn(self, rows: np.ndarray, off: np.ndarray, lanes: int = LANES) -> None:
         run, p, lay = Pass(rows, off, self.layout, lanes), self.p, self.layout
+        self.full = max(256, lanes * WINDOW)  # tokens of a full window: those of a thin one, where few long texts are left, weigh no more than others
         h = np.zeros((run.grid.shape[1], p["U"].shape[0]), _F)
         last = np.full(run.grid.shape[1], lay.start, np.int32)
         for t, end, n in run.windows():
@@ -192,49 +219,63 @@ class Trainer:
             self._backward(x, y, keep, before, after, z, c, real)
             h[:n], last[:n] = after[-1], y[-1]
             self.tokens += int(real.sum())
+        self.settle()
 
     def _backward(self, x, y, keep, before, after, z, c, real) -> None:
         p, lay = self.p, self.layout
         steps, n, d = after.shape
-        s, word = after.reshape(-1, d), y.ravel()
-        cls = lay.class_of(word)
-        scale = _F(1 / max(256, real.sum()))
-        prob = s @ p["W"]
-        prob += p["b"]
+        cls = self.class_of[y.ravel()]
+        cls[~real] = lay.classes  # what is no token comes last
+        order, ends = _by_class(cls, lay.head_classes)
+        order = order[: int(real.sum())]
+        word, cls = y.ravel()[order], cls[order]
+        s = _with_one(after.reshape(-1, d)[order])
+        scale = _F(1 / self.full)
+        prob = s @ np.vstack((p["W"], p["b"]))
         _soft(prob)
         prob[np.arange(len(word)), cls] -= 1
-        prob *= (real * scale).astype(_F)[:, None]
-        ds = prob @ p["W"].T
-        gw, gb = s.T @ prob, prob.sum(axis=0)
-        gv, gvb = np.zeros_like(p["V"]), np.zeros_like(p["v"])
-        order = np.argsort(np.where(real, cls, lay.classes), kind="stable")
-        ends = np.searchsorted(np.where(real, cls, lay.classes)[order], np.arange(lay.head_classes + 1))
+        prob *= scale
+        back = prob @ p["W"].T
+        gw = s.T @ prob
+        gv = np.zeros((d + 1, lay.head), p["V"].dtype)
         for k in range(lay.head_classes):
-            at = order[ends[k] : ends[k + 1]]
+            a, b = ends[k], ends[k + 1]
             lo, hi = lay.bounds[k], lay.bounds[k + 1]
-            if len(at) and hi - lo > 1:
-                sk = s[at]
-                inner = sk @ p["V"][:, lo:hi]
-                inner += p["v"][lo:hi] - p["v"][lo:hi].max()
+            if a < b and hi - lo > 1:
+                v = p["V"][:, lo:hi]
+                inner = s[a:b] @ np.vstack((v, p["v"][lo:hi] - p["v"][lo:hi].max()))
                 _soft(inner)
-                inner[np.arange(len(at)), word[at] - lo] -= 1
+                inner[np.arange(b - a), word[a:b] - lo] -= 1
                 inner *= scale
-                ds[at] += inner @ p["V"][:, lo:hi].T
-                gv[:, lo:hi], gvb[lo:hi] = sk.T @ inner, inner.sum(axis=0)
+                back[a:b] += inner @ v.T
+                gv[:, lo:hi] = s[a:b].T @ inner
+        ds = np.zeros((steps * n, d), back.dtype)
+        ds[order] = back
         ds = ds.reshape(steps, n, d)
         da = np.empty((steps, n, 2 * d), _F)
+        dz, dc = (c - before) * z * (1 - z), z * (1 - c * c)
+        stay = (1 - z) * keep
+        ut = np.ascontiguousarray(p["U"].T)
         dh = np.zeros((n, d), _F)
         for t in range(steps - 1, -1, -1):
-            dh = dh + ds[t]
-            da[t, :, :d] = dh * (c[t] - before[t]) * z[t] * (1 - z[t])
-            da[t, :, d:] = dh * z[t] * (1 - c[t] * c[t])
-            dh = (dh * (1 - z[t]) + da[t] @ p["U"].T) * keep[t]
+            dh += ds[t]
+            np.multiply(dh, dz[t], out=da[t, :, :d])
+            np.multiply(dh, dc[t], out=da[t, :, d:])
+            dh *= stay[t]
+            dh += (da[t] @ ut) * keep[t]
         flat = da.reshape(-1, 2 * d)
-        gu = before.reshape(-1, d).T @ flat
         rows = x.ravel()
         order = np.argsort(rows, kind="stable")
         at = np.flatnonzero(np.concatenate(([True], np.diff(rows[order]) > 0)))
-        ge = np.add.reduceat(flat[order], at, axis=0)
-        self._step("E", ge, rows[order][at])
-        for name, grad in (("U", gu), ("W", gw), ("b", gb), ("V", gv), ("v", gvb)):
+        self._step("E", np.add.reduceat(flat[order], at, axis=0), rows[order][at])
+        for name, grad in (("U", before.reshape(-1, d).T @ flat), ("W", gw[:-1]), ("b", gw[-1]), ("V", gv[:-1]), ("v", gv[-1])):
+            self.waiting[name] = self.waiting[name] + grad if name in self.waiting else grad
+        self.waited += len(word)
+        if 2 * self.waited >= self.full:
+            self.settle()
+
+    def settle(self) -> None:
+        """Changes the weights by the gradients that still wait."""
+        for name, grad in self.waiting.items():
             self._step(name, np.clip(grad, -1, 1))
+        self.waiting, self.waited = {}, 0

@@ -22,7 +22,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = lambda: crc_fold("doc_id", 5) == 1
+    held_out = lambda: F.coalesce(crc_fold("doc_id", 5) == 1, F.lit(False))  # a null id is never held out
     scored = lm.score(table(spark, sf_dir, "documents"), held_out)
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -51,7 +51,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(toxicity.labelled_sample(docs, labels.where(crc_fold("doc_id", 4) != 2)))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

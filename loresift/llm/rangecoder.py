@@ -27,7 +27,7 @@ SLOTS = (3, 2)
 MOST_IDS = 1 << 17
 _F_BITS, _W_BITS = 18, 12
 _TOTAL_BITS = _F_BITS + _W_BITS
-_HASH_BITS, _TAG_BITS, _COUNT_BITS = 18, 10, 4
+_HASH_BITS, _TAG_BITS, _COUNT_BITS = 16, 10, 4
 _MOST = (1 << _COUNT_BITS) - 1
 _EVERY = 8  # steps between two rebuilds of the order-0 frequencies and the weights
 _LEARN = 4  # steps between two lessons of the weights, but for the first ones
@@ -81,7 +81,7 @@ class Model:
             self.cum += np.arange(self.size + 1)
             self.cum[-1] = 1 << _F_BITS
             if want_slots:
-                self.slots = np.repeat(np.arange(self.size, dtype=np.int64), np.diff(self.cum))
+                self.slots = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.cum))
             self.rate1, self.rate2 = (self.right1 / self.tried1).astype(np.float32), (self.right2 / self.tried2).astype(np.float32)
             self.escape = (self.none / self.asked).astype(np.float32)
         self.step += 1
@@ -264,7 +264,7 @@ def decode(block: bytes, size: int = 1 << 16) -> np.ndarray:
         # up the candidates: what those below added is taken off, and what lies in one's own stretch ends as its last step
         for who, add in _sorted(found, w):
             np.maximum(np.minimum(v, w0 * m.cum[who + 1] - 1), v - add, out=v)
-        sym = m.slots[v.view(np.uint64) // w0.view(np.uint64)]
+        sym = m.slots[v.view(np.uint64) // w0.view(np.uint64)].astype(np.int64)
         start, width, right = _stretch(m, sym, found, w, w0)
         low += start * r
         rng = width * r

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loresift.llm import decontaminate, fst, gru, line_dedup, lm, rangecoder, setsketch, toxicity, warc, wordhash
+from loresift.llm import decontaminate, fst, gru, line_dedup, rangecoder, setsketch, toxicity, warc, wordhash
 
 
 @settings(max_examples=40, deadline=None)
@@ -161,12 +161,6 @@ def test_model_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
-def test_cut_keeps_all_tokens():
-    off = np.array([0, 3, 3, 3 + 2 * lm.SEGMENT + 1])
-    cut = lm._cut(off)
-    assert cut[0] == 0 and cut[-1] == off[-1] and (np.diff(cut) <= lm.SEGMENT).all() and set(off) <= set(cut)
-
-
 def brute_overlap(same, num, den):
     best = (0, 0)
     for i in range(len(same)):
