@@ -1,8 +1,8 @@
 """SpotSigs document fingerprints (operator 9); DataFrame functions only.
 
-Every common word (an anchor), and the start of the text, begins a chain of the next content words; a chain's
+Every common word (an anchor), and the start of the text, begins a chain of the next two content words; a chain's
 hash is a signature, and a document's fingerprint is its sorted set of signatures.  Sets are compared by
-Jaccard, pruned by their lengths: where the lengths' ratio is under the threshold, nothing is compared.
+Jaccard; ``near_pairs`` finds all alike ones, partitioned and pruned by their lengths.
 """
 
 from __future__ import annotations
@@ -20,27 +20,32 @@ ANCHORS = (
     "el los las y es en del se por para con"
 ).split()
 START = "<s>"
-CHAIN = 2
-#: Words after an anchor in which its chain is looked for.
-LOOK = 8
-#: Documents of one range of ids in ``with_next``, and how many ranges there are.
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 4_000, 64, 2_000
+#: Ranges of ids in ``with_next`` at least; there are twice as many as the square root of the rows, so neither a range nor the list of them grows large.
+LEAST_RANGES = 64
 
 
 def words(text: Column) -> Column:
     return F.concat(F.array(F.lit(START)), F.split(F.lower(text), "[\\s\\p{Punct}]+"))
 
 
-def signatures(w: Column) -> Column:
-    """The sorted distinct signatures of an array of words; if no chain is found, one of all the words."""
+def with_signatures(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """``docs`` with the sorted distinct signatures of the column ``text``, as 64-bit hashes.
+
+    The content words are taken with their places; the anchors between one and the next all begin chains with the two
+    content words that follow, however many anchors stand there.  If a text has anchors but no content word, all its words are the one signature.
+    """
     anchors = [START, *ANCHORS]
+    content = F.filter(F.transform("_w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~y["x"].isin(*anchors) & (y["x"] != ""))
 
-    def chain(x: Column, i: Column) -> Column:
-        after = F.filter(F.slice(w, i + 2, LOOK), lambda y: ~y.isin(*anchors) & (y != ""))
-        return F.when(x.isin(*anchors) & (F.size(after) > 0), F.hash(x, F.slice(after, 1, CHAIN)))
+    def chains(c: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.get("_c", k - 1)["i"]).otherwise(-1)
+        run = F.filter(F.slice("_w", before + 2, c["i"] - before - 1), lambda y: y != "")
+        return F.transform(F.array_distinct(run), lambda a: F.xxhash64(a, c["x"], F.get("_c", k + 1)["x"]))
 
-    bare = F.when(~F.exists(w, lambda y: ~y.isin(*anchors) & (y != "")) & F.exists(w, lambda y: y.isin(*ANCHORS)), F.hash(w))
-    return F.sort_array(F.array_distinct(F.array_compact(F.concat(F.transform(w, chain), F.array(bare)))))
+    bare = F.when((F.size("_c") == 0) & F.exists("_w", lambda y: y.isin(*ANCHORS)), F.xxhash64("_w"))
+    out = docs.withColumn("_w", words(F.col(text))).withColumn("_c", content)
+    found = F.concat(F.flatten(F.transform("_c", chains)), F.array_compact(F.array(bare)))
+    return out.withColumn(name, F.sort_array(F.array_distinct(found))).drop("_w", "_c")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -56,34 +61,46 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, sigs)`` of every row; a null text counts as empty and has no signature."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.withColumn("w", words(F.col("text"))).select("doc_id", "text", signatures(F.col("w")).alias("sigs"))
+    return with_signatures(docs, "text", "sigs")
+
+
+def _range_of(bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are at most the id: a step for groups of them, then one within its group."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    firsts = F.array(*[F.lit(g[0]) for g in groups])
+    inner = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
+    at = F.size(F.filter(firsts, lambda b: b <= F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull() | (at == 0), 0).otherwise((at - 1) * step + F.size(F.filter(F.element_at(inner, F.greatest(at, F.lit(1))), lambda b: b <= F.col("doc_id"))))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``fingerprints`` with ``next_text`` and ``next_sigs`` of the document that follows by descending id.
 
-    After the last comes the first.  Ids are cut into ranges at their quantiles, so each task orders one range; a
-    range's last document is followed by the top of the next range.  Null ids come last; of equal ids any
+    After the last comes the first.  Ids are cut into ranges at their quantiles, so each task orders small ranges; a
+    range's last document is followed by the top of the next range that has any.  Null ids come last; of equal ids any
     may follow the other, by a hash of their texts.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = docs.count()
-    ranges = int(min(MOST_RANGES, max(LEAST_RANGES, -(-rows // RANGE_ROWS))))
-    at = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] or []
-    bounds = F.array(*[F.lit(int(x)) for x in sorted(set(at))]) if at else F.array().cast("array<bigint>")
-    ranged = docs.select("doc_id", "text").withColumn("part", F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id").cast("long"))), F.lit(0)))
+    ranges = max(LEAST_RANGES, int(2 * rows**0.5))
+    at = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] or []
+    part = _range_of(sorted({int(x) for x in at})).alias("part")
     order = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]
-    tops = ranged.select("part", "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), (-F.col("h").cast("decimal(20,0)")).alias("h"))).alias("m"))
-    tops = cut(tops.select("part", F.col("m.d").alias("d"), (-F.col("m.h")).cast("long").alias("h")))
-    first = ranged.join(F.broadcast(tops.withColumnRenamed("part", "p")), (F.col("part") == F.col("p")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("h")))  # at most MOST_RANGES rows
-    first = fingerprints(first.select("doc_id", "text", "part").dropDuplicates(["part"])).withColumnRenamed("doc_id", "top")
-    first = first.withColumn("part", F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("top"))), F.lit(0)))
-    whole = Window.orderBy(F.desc("part"))  # at most MOST_RANGES rows
-    wrap = F.first(F.struct("text", "sigs")).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    first = cut(first.select("part", F.coalesce(F.lead(F.struct("text", "sigs")).over(whole), wrap).alias("top")))
-    made = fingerprints(docs).withColumn("part", F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)))
+    # the top of each range: the largest id, of equal ones the least hash
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), (-F.xxhash64("text").cast("decimal(20,0)")).alias("h"))
+    tops = cut(docs.select(part, place.alias("m")).groupBy("part").agg(F.max("m").alias("m")))
+    whole = Window.orderBy(F.desc("part"))  # numbers of the ranges, without texts
+    follows = tops.select(F.col("part").alias("before"), F.coalesce(F.lead("part").over(whole), F.max("part").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("part"))
+    first = docs.select("doc_id", "text", part, place.alias("m")).join(tops, ["part", "m"], "left_semi").dropDuplicates(["part"])
+    first = with_signatures(first, "text", "sigs").join(follows, "part").select(F.col("before").alias("part"), F.struct("text", "sigs").alias("top"))
+    first = cut(first)
+    made = fingerprints(docs).withColumn("part", _range_of(sorted({int(x) for x in at})))
     by_id = Window.partitionBy("part").orderBy(*order)
     made = made.withColumn("next_text", F.lead("text").over(by_id)).withColumn("next_sigs", F.lead("sigs").over(by_id))
-    made = made.join(F.broadcast(first), "part", "left")
+    made = made.join(first, "part", "left")
     return made.select("doc_id", "text", "sigs", F.coalesce("next_text", F.col("top.text")).alias("next_text"), F.coalesce("next_sigs", F.col("top.sigs")).alias("next_sigs"))
 
 
@@ -96,7 +113,7 @@ def edited(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = with_next(docs).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.withColumn("w", words(F.col("edited"))).withColumn("edited_sigs", signatures(F.col("w")))
+    rows = with_signatures(rows, "edited", "edited_sigs")
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
