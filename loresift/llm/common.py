@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -35,12 +36,42 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or found
 
 
+#: Folders of ``cut`` that were not discarded yet, and the session that wrote them.
+_made: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back from there; its lineage ends here."""
     spark = session(df)
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_to = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Deletes the folders of tables of ``cut`` that nothing reads any more."""
+    for df in cuts:
+        _delete(df.cut_to)
+
+
+def _delete(path: str) -> None:
+    spark = _made.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    """At the driver's end what is left goes, as far as the session still lives."""
+    for path in list(_made):
+        try:
+            _delete(path)
+        except Exception:  # the session may be gone, and its folder with it
+            return
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loresift.llm.common import cut
+from loresift.llm.common import cut, discard
 
 
 def _stamp(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("x", "y").cast("decimal(20,0)"))).first())
+    """The number of edges and two 64-bit hash sums of them."""
+    sums = [F.sum(F.xxhash64(F.lit(i), "x", "y").cast("decimal(20,0)")) for i in (0, 1)]
+    return tuple(edges.agg(F.count(F.lit(1)), *sums).first())
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -29,9 +31,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
         large = cut(large)
-        least = cut(large.groupBy("x").agg(F.min("y").alias("m")))
-        small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).union(least.select("x", F.col("m").alias("y")))
-        e = cut(small.distinct())
+        below = cut(large.groupBy("x").agg(F.min("y").alias("m")))
+        small = large.join(below, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).union(below.select("x", F.col("m").alias("y")))
+        was, e = e, cut(small.distinct())
+        discard(was, least, large, below)
         now = _stamp(e)
         if now == before:
             break

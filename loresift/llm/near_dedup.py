@@ -2,8 +2,10 @@
 
 1. Equal word sequences form classes; each goes on as one representative, its least id.
 2. A set with more than ``1 - threshold`` of its shingles in no other class can't be linked with anything,
-   so it is done.  Shingles are counted exactly, in shards of their hashes.
-3. The others get SetSketch registers; equal bands of registers put them into buckets.
+   so it is done.  Shingles are counted exactly, in shards of their hashes; a task sends no shingle on that it
+   already sent for two classes, so a word pair of all documents stays small.
+3. The others get SetSketch registers; equal bands of registers put them into buckets.  Sets of up to
+   eight shingles also get exact buckets, which no pair at 0.8 or more can miss if one has under eight.
 4. Every member of a bucket is compared with the bucket's least member: the joint likelihood of the
    registers estimates the Jaccard index, and those in reach are verified on their full sets.
 5. Buckets that touch form a neighbourhood.  Where one still holds several components, blocks of its members are
@@ -11,7 +13,7 @@
    comparison per member, and no pair is lost that shares any bucket.
 6. Components of the verified links; copies take over their representative's.
 
-With ``m`` = 256 registers in 42 bands of 6, a pair at the threshold 0.8 misses every bucket with a
+With ``m`` = 256 registers in 42 bands of 6, a pair of larger sets at the threshold 0.8 misses every bucket with a
 probability of 3e-6; ``slack`` below the threshold is over five deviations of the estimate.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loresift.llm import setsketch
-from loresift.llm.common import cut, need, session, small_batches
+from loresift.llm.common import cut, discard, need, session, small_batches
 from loresift.llm.graph import components
 from loresift.llm.wordhash import hashed, mix, shingles
 
@@ -36,6 +38,10 @@ SHARD = 3_000_000
 RANGE = 20_000
 #: Members of a block in step 5.
 BLOCK = 512
+#: Shingles of two classes or more that a task remembers.
+SENT = 1 << 20
+#: Largest set with exact buckets.
+SMALL = 8
 
 
 def _sets(batch_texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -63,9 +69,13 @@ def word_classes(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _lonely(docs: DataFrame, size: int, shards: int, ranges: int) -> DataFrame:
-    """``(h1, h2, lonely)``: how many of a class's shingles no other class has (two classes of one 32-bit tag count as one)."""
+    """``(h1, h2, lonely)``: how many of a class's shingles no other class has.
+
+    Of a shingle that several classes of a block have, two go on; a task that sent two doesn't send it again.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.empty(0, np.uint64)
         for b in batches:
             for _, _, v, o, h1, h2 in _sets(b.column(0), size):
                 # one of each class within the block
@@ -76,8 +86,20 @@ def _lonely(docs: DataFrame, size: int, shards: int, ranges: int) -> DataFrame:
                 row = np.repeat(np.arange(len(n)), n)
                 use = keep[row]
                 v, row = v[use], row[use]
+                if len(sent) and len(v):
+                    fresh = sent[np.minimum(np.searchsorted(sent, v), len(sent) - 1)] != v
+                    v, row = v[fresh], row[fresh]
+                if not len(v):
+                    continue
+                order = np.argsort(v, kind="stable")
+                v, row = v[order], row[order]
+                again = np.concatenate(([False], v[1:] == v[:-1]))
+                third = again & np.concatenate(([False], again[:-1]))
+                if len(sent) < SENT:
+                    sent = np.union1d(sent, v[again & ~third])
+                v, row = v[~third], row[~third]
                 shard = (v % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
+                order = np.lexsort((row, shard))
                 v, row, shard = v[order], row[order], shard[order]
                 low = (v // np.uint64(shards)).astype(np.uint32)
                 ends = np.searchsorted(shard, np.arange(shards + 1))
@@ -101,7 +123,10 @@ def _lonely(docs: DataFrame, size: int, shards: int, ranges: int) -> DataFrame:
             doc.append(np.repeat(np.arange(at, at + len(head), dtype=np.int32), raw[: len(head)]))
             at += len(head)
         head, low, doc = np.concatenate(ids), np.concatenate(low), np.concatenate(doc)
-        tag = (head[:, 0] & 0xFFFFFFFF).astype(np.uint64)
+        # classes are numbered by their whole hash
+        by = np.lexsort((head[:, 1], head[:, 0]))
+        tag = np.empty(len(head), np.uint64)
+        tag[by] = np.cumsum(np.concatenate(([False], (head[by[1:]] != head[by[:-1]]).any(axis=1)))).astype(np.uint64)
         order = np.argsort((low.astype(np.uint64) << np.uint64(32)) | tag[doc])
         low, doc = low[order], doc[order]
         tags = tag[doc]
@@ -152,10 +177,14 @@ def _band_rows(sketches: DataFrame) -> DataFrame:
             if b.num_rows:
                 regs = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(1)])
                 keys = setsketch.band_keys(regs, ROWS_PER_BAND)
-                ids = np.repeat(np.asarray(b.column(0)), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel().view(np.int64))], ["doc_id", "bucket"])
+                own, n = np.asarray(b.column(0)), np.asarray(b.column(2))
+                few = np.flatnonzero(n <= SMALL)
+                more = [setsketch.small_keys(np.frombuffer(b.column(3)[i].as_buffer(), np.uint64)) for i in few.tolist()]
+                ids = np.concatenate((np.repeat(own, keys.shape[1]), np.repeat(own[few], n[few] + 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate((keys.ravel(), *more)).view(np.int64))], ["doc_id", "bucket"])
 
-    return sketches.select("doc_id", "regs").mapInArrow(run, "doc_id long, bucket long")
+    # the full sets are read where they are small only
+    return sketches.select("doc_id", "regs", "n", F.when(F.col("n") <= SMALL, F.col("members")).alias("members")).mapInArrow(run, "doc_id long, bucket long")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -270,6 +299,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     more = body.join(sent, ["area", "block"]).groupBy("area", "lb", "rb").applyInArrow(_block_links(num, den, slack), "a long, b long")
     more = cut(more)
     ends = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if more.limit(1).count() else first
+    discard(alive, sketches, stars, links, member, mixed, more)
     named = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("found"))
     out = rows.join(named, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("found")), F.col("doc_id")))

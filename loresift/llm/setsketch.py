@@ -23,26 +23,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def registers(value: np.ndarray, off: np.ndarray, m: int = M) -> np.ndarray:
     """One row of ``m`` registers (uint16) for each set ``value[off[i]:off[i+1]]``; an empty set's are 0.
 
-    Every element visits the registers in an order of its own, with values that grow by truncated
-    exponential steps (variant 2 of the paper); it drops out once its value can't lower any register.
+    Every element visits the registers in an order of its own (a quadratic permutation), with values that grow by
+    truncated exponential steps (variant 2 of the paper); it drops out once its value can't lower any register.
     """
     rows = len(off) - 1
     low = np.full((rows, m), np.inf)
     doc = np.repeat(np.arange(rows), np.diff(off))
     start, step = mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), mix(value + _GOLD) | np.uint64(1)
+    bend = (step >> np.uint64(32)) << np.uint64(1)  # an odd step and an even bend: a permutation modulo a power of two
     seed, flat = value, low.ravel()
     for j in range(m):
         a, b = np.log(m / (m - j)), np.log(m / (m - j - 1)) if j + 1 < m else np.inf
         u = _unit(mix(seed + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
         x = a - np.log1p(-u * -np.expm1(-(b - a))) if np.isfinite(b) else a - np.log(u)  # x in [a, b), in units of 1/RATE
-        at = doc * m + ((start + np.uint64(j) * step) & np.uint64(m - 1)).astype(np.int64)
+        at = doc * m + ((start + np.uint64(j) * step + np.uint64(j * j) * bend) & np.uint64(m - 1)).astype(np.int64)
         np.minimum.at(flat, at, x)
         live = b < low.max(axis=1)
         if not live.any():
             break
         if not live.all() or j == 0:
             keep = live[doc]
-            doc, start, step, seed = doc[keep], start[keep], step[keep], seed[keep]
+            doc, start, step, bend, seed = doc[keep], start[keep], step[keep], bend[keep], seed[keep]
         if not len(doc):
             break
     with np.errstate(divide="ignore"):
@@ -66,6 +67,17 @@ def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def small_keys(value: np.ndarray) -> np.ndarray:
+    """Bucket keys of a small set: one for all of it and one for it without each of its elements.
+
+    Two sets, of which one has under eight elements, are alike in 80 % only if they share such a key, as they
+    differ by one element at most.
+    """
+    each = mix(value ^ np.uint64(0x5BD1E9955BD1E995))
+    whole = each.sum(dtype=np.uint64)
+    return mix(np.append(whole - each, whole) + np.uint64(0x2545F4914F6CDD1D))
+
+
 def joint_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, steps: int = 40) -> np.ndarray:
     """Maximum-likelihood Jaccard index of sketch pairs, from how many registers are larger, equal and smaller.
 

@@ -136,6 +136,36 @@ def test_decontamination_finds_substituted_passages(spark):
     assert {r["doc_id"] for r in clean.collect()} == {d for d in range(60) if d % 2} and "rank" in clean.columns
 
 
+def test_decontamination_against_brute_force(spark):
+    """Every pair and diagonal, on texts of few words; and a very long item that is copied whole."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcdefghij") for _ in range(n))
+    items = [(i, text(rng.choice([4, 6, 13, 30]))) for i in range(12)] + [(12, long := " ".join(f"w{rng.randrange(3000)}" for _ in range(20_000)))]
+    docs = []
+    for d in range(40):
+        part = items[rng.randrange(12)][1].split()
+        docs.append((d, " ".join([text(20), *(w if rng.random() > 0.12 else "z" for w in part), text(rng.randint(0, 20))])))
+    docs += [(40, "before " + long + " after"), (41, "a " * 20_000)]
+    want = {}
+    for d, t in docs:
+        a = t.split()
+        for i, u in items:
+            b, best = u.split(), None
+            if d >= 40 and i < 12 or len(b) * len(a) > 1e8:
+                continue
+            for k in range(1 - len(b), len(a)) if d < 40 and i < 12 else ():
+                s, e = max(0, -k), min(len(b), len(a) - k)
+                same = [b[x] == a[x + k] for x in range(s, e)]
+                lo, hi = decontaminate.longest_overlap(np.array(same, bool), 80, 100)
+                if hi - lo >= max(5, min(13, len(b))) and (best is None or sum(same[lo:hi]) > best):
+                    best = sum(same[lo:hi])
+            if best:
+                want[d, i] = best
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.overlaps(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: r["n_matched"] for k, r in got.items() if k[0] < 40 and k[1] < 12} == want
+    assert got[40, 12]["n_matched"] == 20_000 and got[40, 12]["doc_start"] == 1
+
+
 def test_decontamination_blocks_and_odd_rows(spark, monkeypatch):
     items = [(i, " ".join(f"i{i}w{k}" for k in range(20))) for i in range(9)] + [(None, "x"), (50, None), (51, "")]
     docs = [(i, t) for i, t in items[:9]] + ODD
@@ -365,6 +395,31 @@ def test_spotsigs_edited(spark):
     assert spotsigs.edited(table(spark, [])).count() == 0
 
 
+def brute_signatures(text):
+    import re
+
+    w = ["<s>", *re.split(r"[\s!-/:-@\[-`{-~]+", text.lower())]
+    anchors = {"<s>", *spotsigs.ANCHORS}
+    out = set()
+    for i, x in enumerate(w):
+        after = [y for y in w[i + 1 :] if y and y not in anchors][:2]
+        if x in anchors and after:
+            out.add((x, *after))
+    return out or ({tuple(w)} if any(x in spotsigs.ANCHORS for x in w) else set())
+
+
+def test_spotsigs_against_brute_force(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice(["the", "of", "and", "in", "cat", "dog", "bird", "fox,", "Fish"]) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(60, "the of " * 4000), (61, "the " * 4000 + "cat"), (62, "cat dog " * 4000)]
+    got = {r["doc_id"]: r for r in spotsigs.edited(table(spark, docs)).collect()}
+    for k, (i, t) in enumerate(order := sorted(docs, reverse=True)):
+        nxt, half = order[(k + 1) % len(order)][1], len(t) // 2
+        own, edited, after = brute_signatures(t), brute_signatures(t[: len(t) - half] + nxt[:half]), brute_signatures(nxt)
+        like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+        assert len(got[i]["fingerprint"].split()) == len(own) and len(got[i]["edited_fingerprint"].split()) == len(edited)
+        assert got[i]["near_edited"] == pytest.approx(like(own, edited)) and got[i]["near_next"] == pytest.approx(like(own, after))
+
+
 def test_spotsigs_ranges_join_up(spark, monkeypatch):
     monkeypatch.setattr(spotsigs, "LEAST_RANGES", 7)
     docs = [(i * 3, f"the word{i} of thing{i}") for i in range(50)]

@@ -55,6 +55,22 @@ def test_sketches_merge_and_estimate():
     assert (setsketch.registers(np.empty(0, np.uint64), np.array([0, 0])) == 0).all()
 
 
+def test_small_sets_share_an_exact_bucket():
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        pool = np.unique(rng.integers(0, 1 << 63, 12).astype(np.uint64))
+        a, b = (np.sort(rng.choice(pool, rng.integers(1, 11), replace=False)) for _ in range(2))
+        same, both = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if 100 * same >= 80 * both and min(len(a), len(b)) < 8:
+            assert len(np.intersect1d(setsketch.small_keys(a), setsketch.small_keys(b)))
+
+
+def test_every_element_visits_every_register():
+    value = np.random.default_rng(5).integers(0, 1 << 63, 20).astype(np.uint64)
+    r = setsketch.registers(value, np.arange(21))
+    assert (r > 0).all() and len(np.unique(r, axis=0)) == 20
+
+
 def test_registers_agree_as_often_as_sets_do():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, (40, 300)).astype(np.uint64)
@@ -176,6 +192,37 @@ def test_longest_overlap(bits):
     assert decontaminate.longest_overlap(np.array(bits, bool), 80, 100) == brute_overlap(bits, 80, 100)
 
 
+@pytest.mark.parametrize("vocab", ["ab", "abcdef"])
+def test_hits_have_every_diagonal_of_equal_seeds(vocab, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    for trial in range(25):
+        monkeypatch.setattr(decontaminate, "PAIRS", 7 if trial % 2 else 1 << 20)
+        index = decontaminate.Index([(i, text(rng.randint(0, 30))) for i in range(4)])
+        for _, _, h, off in wordhash.hashed(pa.array([text(rng.randint(0, 60)) for _ in range(5)]), wordhash.PLAIN):
+            got = {tuple(x) for x in index.hits(h, off).tolist()}
+            for r in range(5):
+                for i in range(4):
+                    for k, mask in enumerate(decontaminate.MASKS):
+                        a, b = (decontaminate.seeds(x, mask, k).tolist() for x in (h[off[r] : off[r + 1]], index.h[index.off[i] : index.off[i + 1]]))
+                        assert {(r, i, x - y) for x in range(len(a)) for y in range(len(b)) if a[x] == b[y]} <= got
+
+
+def test_long_and_repetitive_texts_need_little_memory():
+    import tracemalloc
+
+    rng = random.Random(7)
+    copied, same = " ".join(f"w{rng.randrange(3000)}" for _ in range(20_000)), "x " * 20_000
+    index = decontaminate.Index([(1, copied), (2, "x " * 1000), (3, same)])
+    tracemalloc.start()
+    for text in (copied, same):
+        for _, _, h, off in wordhash.hashed(pa.array([text]), wordhash.PLAIN):
+            assert len(index.hits(h, off))
+    assert decontaminate.longest_overlap(np.ones(20_000, bool), 80, 100) == (0, 20_000)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_spaced_seeds_ignore_masked_positions():
     h = np.arange(20, dtype=np.uint64)
     for k, mask in enumerate(decontaminate.MASKS):
@@ -221,14 +268,68 @@ def test_composition_counts_like_its_parts():
             assert got[0] | got[1] == got[2]
 
 
+def test_trie_reads_the_longest_pattern():
+    rng = random.Random(3)
+    for _ in range(200):
+        patterns = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 5))): (rng.choice([0.5, 1.0, 2.5]), rng.random() < 0.4) for _ in range(6)}
+        t = fst.trie(patterns, "insult")
+        for _ in range(20):
+            word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))
+            fits = [p for p, (_, whole) in patterns.items() if word == p or (not whole and word.startswith(p))]
+            marks, weight = fst.read(t, [*word, fst.END])
+            assert bool(marks) == bool(fits)
+            assert weight == pytest.approx(patterns[max(fits, key=len)][0] if fits else 0.0)
+
+
+def brute_clause(tokens, scorer):
+    """Kinds and weights by looking at every token's surroundings."""
+    w, out = toxicity.WEIGHTS, []
+    read_as = [scorer.of_word(t) for t in tokens]
+    symbols = [s for s, _ in read_as]
+    for i, (s, own) in enumerate(read_as):
+        if s not in toxicity.HITS:
+            continue
+        before = lambda c, n: c in symbols[max(0, i - n) : i]  # noqa: B023, E731
+        after = lambda c, n: c in symbols[i + 1 : i + 1 + n]  # noqa: B023, E731
+        marks = {"targeted": [before("P", 4), after("P", 3)], "threat": [s == "V" and before("M", 5)], "negated": [before("N", 3)], "reported": [before("R", 6), symbols[:i].count("Q") % 2 == 1, after("R", 4)]}
+        kind = next((k for k in ("negated", "reported", "threat", "targeted") if any(marks[k])), "plain")
+        out.append((s, toxicity.KINDS.index(kind), own + sum(w[k] * sum(v) for k, v in marks.items())))
+    return out
+
+
+def test_clauses_against_brute_force():
+    scorer = toxicity.Scorer(toxicity.Model({"idiot": (5.0, True), "fool": (2.0, False), "dolt": (3.0, True)}, toxicity.PRIOR))
+    rng = random.Random(4)
+    words = ["idiot", "fools", "dolt", "you", "not", "said", "will", "kill", "and", "the", '"', "er"]
+    for _ in range(400):
+        tokens = [rng.choice(words) for _ in range(rng.randint(0, 25))]
+        got, want = scorer.clause(tokens), brute_clause(tokens, scorer)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_clauses_are_read_whole_and_once():
+    scorer = toxicity.Scorer(toxicity.Model({"idiot": (5.0, True)}, toxicity.PRIOR))
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice(["idiot ", "you ", "x ", ". ", "! ", "; ", "\n", "word ", "preidiot "]) for _ in range(rng.randint(0, 40)))
+        import re
+
+        parts = [toxicity._TOKEN.findall(c) for c in re.split(r"[.!?;\n]", text)]
+        hit = lambda ts: any(scorer.of_word(t)[0] in toxicity.HITS for t in ts)
+        assert [ts for ts in scorer.clauses(text) if hit(ts)] == [ts for ts in parts if hit(ts)]
+
+
 def test_grammar_marks_clauses():
     s = toxicity.Scorer(toxicity.Model({"idiot": (5.0, True), "lowei": (4.5, False)}, toxicity.PRIOR))
-    name = lambda text: [toxicity.KINDS[k % 4] for k in np.flatnonzero(s.features(text)[:16])]
-    assert name("an idiot") == ["plain"] and name("You are such an idiot") == ["targeted"]
-    assert name("he is not an idiot") == ["negated"] and name('she said "what an idiot"') == ["reported"]
+    n = len(toxicity.KINDS)
+    name = lambda text: [toxicity.KINDS[k % n] for k in np.flatnonzero(s.features(text)[: 4 * n])]
+    assert name("an idiot") == ["plain"] and name("You are such an idiot") == ["targeted"] and name("idiot, you") == ["targeted"]
+    assert name("he is not an idiot") == ["negated"] and name('she said "what an idiot"') == ["reported"] and name("what an idiot, she said") == ["reported"]
+    assert name("I will kill the lights") == ["threat"] and name("kill the lights") == ["plain"] and name("Kill! you") == ["plain"]
     assert name("LOWEIschaft here") == ["plain"] and name("idiotic") == [] and name("preidiot") == []
     assert s.score("he is not an idiot") < s.score("an idiot") < s.score("you idiot and idiot, idiot")
     assert 0 <= s.score("") < 0.3 and s.score("clean words") == s.score("")
+    assert s.score("filler " * 200_000 + "you idiot") > s.score("")
 
 
 def test_warc_round_trip_and_links():
