@@ -3,7 +3,8 @@
 Logged conversations are often snapshots of one that grew.  Every turn has a hash of its position, role and
 text; running sums of them are hashes of all turn prefixes, and a conversation whose hash is a prefix hash of a
 longer one is dropped by an anti-join.  Turns are numbered and summed in two levels (chunks of ``CHUNK`` turn
-numbers, then chunk totals), so that one very long conversation is spread over many tasks.
+numbers, then chunk totals), so that one very long conversation is spread over many tasks.  Numbered turns are written
+once; prefixes are compared without texts, which are read again for the kept conversations only.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loresift.llm.common import cut
+
 CHUNK = 64
 _KEYS = ("h1", "h2")
 
@@ -56,10 +59,11 @@ def collapse(conversations: DataFrame) -> DataFrame:
 
     Turns are ordered by turn (null first), role and text; repeated rows count once, null roles and texts as
     empty.  Turns without a conversation id belong to none and are left out; an empty table gives an
-    empty result; extra columns are ignored.  A rendered conversation is one row, put together from its chunks.
+    empty result; extra columns are ignored.  A rendered conversation is one row, put together from its chunks, as long as it may be;
+    turns of one number stand in one chunk.
     """
-    turns = numbered(conversations)
-    kept = maximal(turns)
+    turns = cut(numbered(conversations))
+    kept = maximal(turns.select("conv_id", "pos", "p1", "p2"))
     parts = turns.join(kept, "conv_id").groupBy("conv_id", "n_turns", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", rendered_turn(F.col("role"), F.col("text")).alias("t")))).alias("ts"))
     parts = parts.select("conv_id", "n_turns", F.struct("chunk", F.concat_ws("", F.col("ts.t")).alias("t")).alias("part"))
     return parts.groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list("part")).alias("ps")).select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.concat_ws("", F.col("ps.t")).alias("text"))
