@@ -7,6 +7,7 @@ calibrated weight for each token that is there.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -17,6 +18,8 @@ from loresift.llm.common import SPACE, cut, session, unit_of
 
 AXES = ("source", "lang", "topic")
 ROUNDS = 20
+#: Shares that are off by more than this after the last round are reported.
+TOLERANCE = 1e-3
 #: Cells raked in the driver; more are raked by window sums on the executors.
 MAX_CELLS = 200_000
 #: Topic rules in order; the first that matches the text names the topic.
@@ -64,6 +67,12 @@ def rake(cells: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray], r
     return w
 
 
+def misfit(w: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray]) -> float:
+    """By how much the share of any group is off its target, at most."""
+    whole = max(w.sum(), 1e-300)
+    return max((float(np.abs(np.bincount(code, weights=w, minlength=len(t)) / whole - t).max()) for code, t in zip(axes, targets, strict=True) if len(t)), default=0.0)
+
+
 def _rake_wide(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
     """The same on DataFrames, for more cells than the driver should hold."""
     w = cells.withColumn("w", F.col("tokens").cast("double"))
@@ -100,13 +109,16 @@ def calibrated(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | No
     codes, shares = [], []
     for k, a in enumerate(AXES):
         names = sorted({r[k] for r in rows})
-        code = np.array([names.index(r[k]) for r in rows], int)
-        share = targets[a] if targets and a in targets else tempered({n: float(tokens[code == i].sum()) for i, n in enumerate(names)}, power)
+        place = {n: i for i, n in enumerate(names)}
+        code = np.array([place[r[k]] for r in rows], int)
+        share = targets[a] if targets and a in targets else tempered(dict(zip(names, np.bincount(code, weights=tokens, minlength=len(names)).tolist(), strict=True)), power)
         codes.append(code)
         shares.append(np.array([share.get(n, 0.0) for n in names]))
     rate = np.zeros(len(rows))
     if len(rows) and tokens.sum():
         w = rake(tokens, codes, shares, rounds)
+        if (off := misfit(w, codes, shares)) > TOLERANCE:
+            warnings.warn(f"after {rounds} rounds a share is off its target by {off:.4f}: the targets contradict each other, or need more rounds", stacklevel=2)
         rate = np.where(tokens > 0, w / np.where(tokens > 0, tokens, 1), 0)
         rate = rate / max(rate.max(), 1e-300)
     prob = np.where(tokens > 0, rate, 1.0)
@@ -129,9 +141,12 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
 def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, power: float = TEMPER) -> DataFrame:
     """The rows of ``docs`` that the calibrated sampling keeps, with their own columns."""
     cells = described(docs).groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens"))
-    prob = calibrated(cells, targets, power=power).select(*[F.col(a).alias(f"_mix_{a}") for a in AXES], F.col("prob").alias("_mix_prob"))
+    own = "_mix"
+    while any(c.lower().startswith(own) for c in docs.columns):  # no clash with columns of the caller
+        own += "_"
+    prob = calibrated(cells, targets, power=power).select(*[F.col(a).alias(f"{own}_{a}") for a in AXES], F.col("prob").alias(f"{own}_prob"))
     text, same = F.coalesce("text", F.lit("")), []
-    keyed = docs.withColumn("_mix_of", topic_of(text))
-    for a, c in zip(AXES, (F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("_mix_of")), strict=True):
-        same.append(c == F.col(f"_mix_{a}"))
-    return keyed.join(prob, same[0] & same[1] & same[2]).where(unit_of("doc_id") < F.round("_mix_prob", 6)).select(*docs.columns)
+    keyed = docs.withColumn(f"{own}_of", topic_of(text))
+    for a, c in zip(AXES, (F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col(f"{own}_of")), strict=True):
+        same.append(c == F.col(f"{own}_{a}"))
+    return keyed.join(prob, same[0] & same[1] & same[2]).where(unit_of("doc_id") < F.round(f"{own}_prob", 6)).select(*docs.columns)
