@@ -357,6 +357,34 @@ def test_warc_derivatives(spark):
     assert warc.derivatives(p.limit(0)).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    responses = [warc.response(f"http://h/{i}", f"<title>T{i}</title><p>text {i}</p>", key=i) for i in range(20)]
+    df = spark.createDataFrame([(warc.serialise(r),) for r in responses] + [(None,)], "record binary").repartition(3)
+    names = warc.write_files(df, str(tmp_path / "in"))
+    assert names and all(n.endswith(".warc.gz") for n in names)
+    back = warc.read_files(spark, str(tmp_path / "in"))
+    assert sorted(bytes(r["record"]) for r in back.collect()) == sorted(map(warc.serialise, responses))
+    out = warc.derived(back)
+    warc.write_files(out, str(tmp_path / "out"))
+    again = warc.read_files(spark, str(tmp_path / "out"))
+    assert sorted(bytes(r["record"]) for r in again.collect()) == sorted(warc.serialise(d) for r in responses for d in warc.derive(r))
+    assert {r["refers_to"] for r in out.collect()} == {r.get("WARC-Record-ID") for r in responses}
+
+
+def test_warc_against_records_made_one_by_one(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = sorted(warc.serialise(d) for r in pages.collect() for d in warc.derive(warc.response(r["url"], r["html"], key=r["page_id"])))
+    assert sorted(bytes(r["record"]) for r in warc.derivatives(pages).collect()) == want
+
+
+def test_mixing_reports_targets_that_are_not_met(spark):
+    cells = spark.createDataFrame([("a", "en", "prose", 10), ("b", "de", "prose", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.calibrated(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}})
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 1)], "doc_id long, text string, lang string, source string, _mix_source int")
+    assert mixing.sample(docs).columns == docs.columns and mixing.sample(docs).count() == 1
+
+
 def test_mixing_meets_its_targets(spark):
     docs = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 5)), ["en", "de"][i % 3 == 0], f"s{i % 4}") for i in range(4000)] + [(None, None, None, None), (5, "", "en", "s0")], "doc_id long, text string, lang string, source string").withColumn("prob", F.lit(1))
     targets = {"source": {"s0": 0.4, "s1": 0.3, "s2": 0.2, "s3": 0.1}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"prose": 1.0}}

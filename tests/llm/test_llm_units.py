@@ -346,3 +346,31 @@ def test_warc_round_trip_and_links():
     with pytest.raises(ValueError):
         list(warc.parse(warc.serialise(r)[:-40]))
     assert warc.plain_text("<p>open <script>never closed") == "open" and warc.plain_text("") == ""
+    r.headers += [("WARC-IP-Address", "10.0.0.1"), ("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>")]
+    for d in warc.derive(r):
+        assert d.get("WARC-Source-Block-Digest") == r.get("WARC-Block-Digest") and d.get("WARC-IP-Address") == "10.0.0.1"
+        assert [v for k, v in d.headers if k == "WARC-Source-Concurrent-To"] == ["<urn:a>", "<urn:b>"]
+    assert b"http-status: HTTP/1.1 200 OK" in meta.block and b"http-header: Content-Type: text/html; charset=utf-8" in meta.block
+
+
+def test_warc_pages_of_unclosed_tags_take_linear_time():
+    import time
+
+    start = time.time()
+    for piece in ("<script", "<script>", "<!-- ", "<p ", "<a ", "<a href=x ", "<title>", "<head>", "<noscript>x", "</script "):
+        page = piece * 60_000
+        warc.derive(warc.response("http://h/", page))
+    links = "".join(f'<a href="/p{i}">x</a>' for i in range(30_000))
+    meta, _ = warc.derive(warc.response("http://h/", links))
+    assert meta.block.count(b"outlink: ") == 30_000 and time.time() - start < 60
+    assert warc.visible("a<!--x-->b<script>y</script>c<head>d<style>z</style>e") == "a b c<head>d e"
+
+
+def test_warc_files_by_member_or_whole():
+    import gzip
+
+    a, b = (warc.serialise(warc.response(f"http://h/{i}", f"<p>{i}</p>")) for i in (1, 2))
+    for data in (a + b, gzip.compress(a) + gzip.compress(b), gzip.compress(a + b)):
+        assert warc.unpacked(data) == a + b and len(list(warc.parse(warc.unpacked(data)))) == 2
+    with pytest.raises((ValueError, OSError)):
+        warc.unpacked(gzip.compress(a)[:-9])
