@@ -7,8 +7,9 @@ corpus are ranked, those without a query word too: they have the score 0 and kee
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import warnings
 from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,10 +42,26 @@ class SearchParams:
         return replace(self, **values)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``(corpus, doc, term, tf, dl)``: how often each document has each token, and how many it has."""
-    words = docs.select("corpus", "doc", T.raw_tokens(F.col("text")).alias("ws")).select("corpus", "doc", F.size("ws").alias("dl"), F.explode("ws").alias("w"))
-    return words.select("corpus", "doc", "dl", T.stem(F.col("w")).alias("term")).groupBy("corpus", "doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def tokenised(docs: DataFrame) -> DataFrame:
+    """``(corpus, doc, dl, ws)``: the stemmed tokens of each document in order, and how many there are."""
+    return docs.select("corpus", "doc", T.raw_tokens(F.col("text")).alias("ws")).select("corpus", "doc", F.size("ws").alias("dl"), F.transform("ws", T.stem).alias("ws"))
+
+
+def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``(corpus, doc, term, tf, dl)``: how often each document has each token, and how many it has.
+
+    With ``wanted(corpus, term)`` only those terms: others leave before anything is shuffled.
+    """
+    words = tokenised(docs).select("corpus", "doc", "dl", F.explode("ws").alias("term"))
+    if wanted is not None:
+        words = words.join(wanted.select("corpus", "term").distinct(), ["corpus", "term"], "left_semi")
+    return words.groupBy("corpus", "doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """``(corpus, term, df)``; a document's distinct terms are found within its row, and tasks add up before the shuffle."""
+    terms = tokenised(docs).select("corpus", F.explode(F.array_distinct("ws")).alias("term"))
+    return terms.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -53,9 +70,9 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return size.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
 
 
-def term_stats(posts: DataFrame, stats: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
+def term_stats(frequencies: DataFrame, stats: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
     """``(corpus, term, df, idf)``; a negative idf becomes ``eps`` times the mean over the whole vocabulary."""
-    df = posts.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "corpus")
+    df = frequencies.join(stats, "corpus")
     raw = df.withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("corpus").agg(F.avg("idf0").alias("mean_idf"))
     return raw.join(mean, "corpus").select("corpus", "term", "df", F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(p.eps * F.col("mean_idf")).alias("idf"))
@@ -66,33 +83,43 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("corpus", "query", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("corpus", "query", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def hits(docs: DataFrame, queries: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
+    """``(corpus, query, doc, qtf, idf, tf, dl, avgdl)``: all that scores are made of; independent of ``k1`` and ``b``."""
+    stats = corpus_stats(docs)
+    asked = query_terms(queries)
+    terms = asked.join(term_stats(document_frequencies(docs), stats, p), ["corpus", "term"]).join(stats, "corpus")
+    return postings(docs, asked).join(terms, ["corpus", "term"]).select("corpus", "query", "doc", "qtf", "idf", "tf", "dl", "avgdl")
+
+
+def part(p: SearchParams):
+    """What one row of ``hits`` adds to a score."""
+    return F.col("qtf") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
+
+
 def matches(docs: DataFrame, queries: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
     """``(corpus, query, doc, score)`` of the documents that share a token with the query."""
-    posts = postings(docs)
-    stats = corpus_stats(docs)
-    terms = query_terms(queries).join(term_stats(posts, stats, p), ["corpus", "term"]).join(stats, "corpus")
-    hits = posts.join(F.broadcast(terms), ["corpus", "term"])  # no more rows than the queries given have words
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("corpus", "query", "doc").agg(F.sum(part).alias("score"))
+    return hits(docs, queries, p).groupBy("corpus", "query", "doc").agg(F.sum(part(p)).alias("score"))
 
 
 def ranked(docs: DataFrame, queries: DataFrame, scored: DataFrame, top_n: int, digits: int = 4, *keep: str) -> DataFrame:
     """The ``top_n`` documents of every query by rounded score, then ``pos``: ``(corpus, query, doc, pos, score, rank)``.
 
-    Documents without a score count as 0.  They are looked up only for queries that have fewer than ``top_n``
-    positive ones, so that a large corpus isn't multiplied by its queries.
+    Documents without a score count as 0.  Only queries that have fewer than ``top_n`` positive ones need any of them: the first
+    ``2 * top_n`` of the corpus hold enough, unless a query has scores below 0, which is a matter of tiny corpora; for
+    such a query all documents are looked up.
     """
     place = docs.select("corpus", "doc", "pos", *keep)
     scored = scored.withColumn("score", F.round("score", digits) + F.lit(0.0))
     first = Window.partitionBy("corpus", "query").orderBy(F.desc("score"), "pos")
-    best = scored.where("score > 0").join(place, ["corpus", "doc"]).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top_n)
-    short = queries.select("corpus", "query").distinct().join(best.groupBy("corpus", "query").agg(F.max("rank").alias("k")), ["corpus", "query"], "left")
-    short = short.where(F.coalesce("k", F.lit(0)) < top_n).select("corpus", "query")  # of the queries given
-    rest = place.join(F.broadcast(short), "corpus").join(scored, ["corpus", "query", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).where("score <= 0")
-    rest = rest.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top_n)
     columns = ["corpus", "query", "doc", "pos", "score", *keep]
-    both = best.select(*columns).union(rest.select(*columns))
-    return both.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top_n)
+    best = scored.where("score > 0").join(place, ["corpus", "doc"]).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top_n).select(*columns)
+    sizes = scored.groupBy("corpus", "query").agg(F.count_if(F.col("score") > 0).alias("up"), F.count_if(F.col("score") <= 0).alias("down"))
+    short = queries.select("corpus", "query").distinct().join(sizes, ["corpus", "query"], "left").na.fill(0, ["up", "down"]).where(F.col("up") < top_n)
+    heads = place.withColumn("_k", F.row_number().over(Window.partitionBy("corpus").orderBy("pos"))).where(F.col("_k") <= 2 * top_n).drop("_k")
+    seen = scored.select("corpus", "query", "doc")
+    zero = heads.join(short.where("down = 0").select("corpus", "query"), "corpus").join(seen, ["corpus", "query", "doc"], "left_anti").withColumn("score", F.lit(0.0)).select(*columns)
+    low = place.join(short.where("down > 0").select("corpus", "query"), "corpus").join(scored, ["corpus", "query", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).where("score <= 0").select(*columns)
+    return best.union(zero).union(low).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top_n)
 
 
 def boosted(scored: DataFrame, docs: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
@@ -129,9 +156,36 @@ def field_text(text, ref, p: SearchParams = SearchParams()):
     )
 
 
-def search(docs: DataFrame, queries: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
-    """Matches, boosts if ``docs`` has ``kind`` and ``source``, and the ranking of the best ``top_n``."""
+def search(docs: DataFrame, queries: DataFrame, p: SearchParams = SearchParams(), vectors: tuple[DataFrame, DataFrame] | None = None, reranker=None) -> DataFrame:
+    """``(corpus, query, doc, pos, score, rank)``: boost, fusion, reranking and diversification in this order, as ``p`` asks.
+
+    Boosts need ``kind`` and ``source`` in ``docs``; fusion (``hybrid_alpha`` > 0) needs ``vectors``, those of documents
+    ``(corpus, doc, vec)`` and of queries ``(corpus, query, qvec)``, or is warned about and left out; ``rerank_top_k`` needs a
+    ``reranker`` (see ``rank.rerank_with``) and ``mmr_enabled`` a ``source_ref``.  Reranking and diversification read ``query`` alone, so
+    that queries have numbers of their own across corpora.
+    """
+    from loresift.operators import rank
+
     scored = matches(docs, queries, p)
     if {"kind", "source"} <= set(docs.columns):
         scored = boosted(scored, docs, p)
-    return ranked(docs, queries, scored, p.top_n, p.digits)
+    pool = max(p.top_n, p.rerank_top_k if reranker is not None else 0, max(2 * p.top_n, p.mmr_pool) if p.mmr_enabled else 0)
+    if p.hybrid_alpha > 0 and vectors is None:
+        warnings.warn("no vectors for a fused search: the lexical ranking is kept", stacklevel=2)
+    if p.hybrid_alpha > 0 and vectors is not None:
+        dv = docs.select("corpus", "doc", "pos").join(vectors[0], ["corpus", "doc"])
+        found = rank.fused(dv, vectors[1], scored, p.hybrid_alpha, pool, p.digits)
+    else:
+        found = ranked(docs, queries, scored, pool, p.digits)
+    if p.rerank_top_k > 0 and reranker is not None:
+        texts = queries.select("corpus", "query", F.col("text").alias("query_text"))
+        found = rank.rerank_with(found.join(docs.select("corpus", "doc", "text"), ["corpus", "doc"]).join(texts, ["corpus", "query"]), reranker, p.rerank_top_k).drop("text", "query_text")
+    if p.mmr_enabled and "source_ref" in docs.columns:
+        by_score = p.rerank_top_k <= 0 or reranker is None
+        refs = found.join(docs.select("corpus", "doc", "source_ref"), ["corpus", "doc"])
+        if by_score:
+            found = rank.mmr(refs, p.top_n, p.mmr_lambda).drop("source_ref")
+        else:
+            chosen = rank.mmr_greedy(refs, p.top_n, p.mmr_lambda).select("query", "doc", "rank")
+            found = found.drop("rank").join(chosen, ["query", "doc"])
+    return found.where(F.col("rank") <= p.top_n).select("corpus", "query", "doc", "pos", "score", "rank")

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loresift.operators import bm25
+
 KS = (1, 3, 5, 10)
 
 
@@ -74,6 +76,12 @@ def with_empty(slices: DataFrame, column: str, names: Sequence[str]) -> DataFram
     return base.join(slices, column, "left").fillna(0)
 
 
+def swept(hits: DataFrame, docs: DataFrame, queries: DataFrame, params: Sequence[bm25.SearchParams]) -> list[DataFrame]:
+    """The ranking of each parameter set over one table of ``bm25.hits``, which is summed up for all of them in one pass."""
+    sums = hits.groupBy("corpus", "query", "doc").agg(*[F.sum(bm25.part(p)).alias(f"s{i}") for i, p in enumerate(params)]).persist()
+    return [bm25.ranked(docs, queries, sums.select("corpus", "query", "doc", F.col(f"s{i}").alias("score")), p.top_n, p.digits) for i, p in enumerate(params)]
+
+
 def best_of(swept: DataFrame, metric: str) -> DataFrame:
     """Parameter combinations by falling ``metric``; of equal ones the earlier ``combo`` comes first."""
     return swept.withColumn("place", F.row_number().over(Window.orderBy(F.desc(metric), "combo")))  # a row for each combination

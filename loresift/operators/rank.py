@@ -41,28 +41,58 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Query vectors that meet the documents at once.
+QUERY_BLOCK = 1 << 14
+
+
 def nearest(docs: DataFrame, queries: DataFrame, top_n: int, digits: int = 4) -> DataFrame:
-    """The ``top_n`` documents ``(doc, pos, vec)`` by inner product for each of a few ``queries(query, qvec)``.
+    """The ``top_n`` documents ``(doc, pos, vec)`` by inner product for each of ``queries(query, qvec)``.
 
-    The stated query set goes to all rows; each task keeps its own best before anything is shuffled.
+    The stated query set meets all rows, ``QUERY_BLOCK`` queries at a time; each task keeps its own best before
+    anything is shuffled.
     """
-    scored = docs.crossJoin(F.broadcast(queries)).select("query", "doc", "pos", F.round(dot(F.col("qvec"), F.col("vec")), digits).alias("score"))
+    blocks = -(-queries.count() // QUERY_BLOCK)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "pos")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n).select("query", "doc", "score", "rank")
-
-
-def fused(doc_vectors: DataFrame, query_vectors: DataFrame, scored: DataFrame, alpha: float) -> DataFrame:
-    """``(1 - alpha)`` of the scaled lexical score and ``alpha`` of the scaled cosine, over all documents of the corpus.
-
-    The scales need every document's cosine, so queries meet all rows; of the results only minima, maxima and
-    what a caller keeps are shuffled.
+    out = None
+    for i in range(max(1, blocks)):
+        some = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
+        scored = docs.crossJoin(F.broadcast(some)).select("query", "doc", "pos", F.round(dot(F.col("qvec"), F.col("vec")), digits).alias("score"))  # about QUERY_BLOCK vectors
+        found = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n).select("query", "doc", "score", "rank")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def fused(doc_vectors: DataFrame, query_vectors: DataFrame, scored: DataFrame, alpha: float, top_n: int, digits: int = 4) -> DataFrame:
+    """The ``top_n`` documents of every query by ``(1 - alpha)`` of the scaled lexical score and ``alpha`` of the scaled cosine.
+
+    ``doc_vectors(corpus, doc, pos, vec)``, ``query_vectors(corpus, query, qvec)``, ``scored(corpus, query, doc, score)``.  The scales
+    are those of all documents of the corpus: every cosine is computed, but only minima, maxima and each task's best
+    leave a task.  Candidates are the documents with a lexical score, and of the others as many as are asked for by
+    the cosine, among documents with no better lexical score than 0; that is exact.
     """
-    both = doc_vectors.join(F.broadcast(query_vectors), "corpus").select("corpus", "query", "doc", "pos", dot(F.col("qvec"), F.col("vec")).alias("cos"))
-    both = both.join(scored, ["corpus", "query", "doc"], "left").withColumn("bm25", F.coalesce("score", F.lit(0.0))).drop("score")
-    ends = both.groupBy("corpus", "query").agg(*[f(c).alias(f"{c}_{n}") for c in ("bm25", "cos") for n, f in (("lo", F.min), ("hi", F.max))])
-    both = both.join(F.broadcast(ends), ["corpus", "query"])  # one row for each query
-    unit = lambda c: F.when(F.col(f"{c}_hi") <= F.col(f"{c}_lo"), 0.5).otherwise((F.col(c) - F.col(f"{c}_lo")) / (F.col(f"{c}_hi") - F.col(f"{c}_lo")))
-    return both.select("corpus", "query", "doc", "pos", "bm25", "cos", ((1 - alpha) * unit("bm25") + alpha * unit("cos")).alias("score"))
+    scored = scored.select("corpus", "query", "doc", "score")
+    pairs = doc_vectors.join(query_vectors, "corpus").select("corpus", "query", "doc", "pos", dot(F.col("qvec"), F.col("vec")).alias("cos"))
+    ends = pairs.groupBy("corpus", "query").agg(F.min("cos").alias("c0"), F.max("cos").alias("c1"), F.count(F.lit(1)).alias("n"))
+    lex = scored.groupBy("corpus", "query").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("k"))
+    ends = ends.join(lex, ["corpus", "query"], "left")
+    some = F.coalesce("k", F.lit(0)) < F.col("n")  # some document has no lexical score
+    zero = F.lit(0.0)
+    ends = ends.select("corpus", "query", "c0", "c1", F.when(some, F.least(F.coalesce("lo", zero), zero)).otherwise(F.col("lo")).alias("b0"), F.when(some, F.greatest(F.coalesce("hi", zero), zero)).otherwise(F.col("hi")).alias("b1"))
+
+    def unit(x: Column, lo: str, hi: str) -> Column:
+        return F.when(F.col(hi) <= F.col(lo), 0.5).otherwise((x - F.col(lo)) / (F.col(hi) - F.col(lo)))
+
+    def value(bm: Column) -> Column:
+        return F.round((1 - alpha) * unit(bm, "b0", "b1") + alpha * unit(F.col("cos"), "c0", "c1"), digits)
+
+    order = Window.partitionBy("corpus", "query").orderBy(F.desc("score"), "pos")
+    columns = ["corpus", "query", "doc", "pos", "score"]
+    others = pairs if (below := scored.where("score < 0")).isEmpty() else pairs.join(below, ["corpus", "query", "doc"], "left_anti")
+    plain = others.join(F.broadcast(ends), ["corpus", "query"]).withColumn("score", value(zero)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select(*columns)  # ends: a row for each query given
+    hit = scored.withColumnRenamed("score", "bm").join(doc_vectors, ["corpus", "doc"]).join(query_vectors, ["corpus", "query"]).withColumn("cos", dot(F.col("qvec"), F.col("vec")))
+    hit = hit.join(ends, ["corpus", "query"]).withColumn("score", value(F.col("bm"))).select(*columns)
+    both = hit.union(plain.join(scored.select("corpus", "query", "doc"), ["corpus", "query", "doc"], "left_anti"))
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
 
 
 def mmr(pool: DataFrame, top_k: int, lambda_: float = 0.7) -> DataFrame:

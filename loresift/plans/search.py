@@ -109,7 +109,7 @@ def empty_query_store_order(spark: SparkSession, d: str) -> DataFrame:
 
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = _plain(spark, d)
-    stats = bm25.term_stats(bm25.postings(docs), bm25.corpus_stats(docs))
+    stats = bm25.term_stats(bm25.document_frequencies(docs), bm25.corpus_stats(docs))
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -142,8 +142,9 @@ def identifier_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 against all vectors, in blocks of queries."""
     v = S.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("vec").alias("qvec"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("vec").alias("qvec"))
     return rank.nearest(v.select(F.col("vec_id").alias("doc"), F.col("vec_id").alias("pos"), "vec"), q, 10)
 
 
@@ -153,18 +154,14 @@ def minmax_norm(spark: SparkSession, d: str) -> DataFrame:
     return x.select("query", "doc", F.round(rank.minmax(F.col("score"), Window.partitionBy("query")), 6).alias("norm"))
 
 
-def _hybrid(spark: SparkSession, d: str, alpha: float) -> DataFrame:
-    """Queries and documents borrow a vector each: item ``i`` vector ``i % 500``, document ``d`` vector ``d % 500``."""
+def hybrid_fused_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Queries and documents borrow a vector each, by their number modulo the number of vectors."""
     docs, q = _plain(spark, d), S.queries(spark, d)
     v = S.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    dv = docs.select("corpus", "doc", "pos", (F.col("doc") % 500).alias("vec_id")).join(v, "vec_id").drop("vec_id")
-    qv = q.select("corpus", "query", (F.col("query") % 500).alias("vec_id")).join(v.withColumnRenamed("vec", "qvec"), "vec_id").drop("vec_id")
-    return rank.fused(dv, qv, bm25.matches(docs, q), alpha)
-
-
-def hybrid_fused_topk(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "pos")
-    return _hybrid(spark, d, 0.3).withColumn("score", F.round("score", 4)).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query", "doc", "score", "rank")
+    n = v.count()
+    dv = docs.select("corpus", "doc", (F.col("doc") % n).alias("vec_id")).join(v, "vec_id").drop("vec_id")
+    qv = q.select("corpus", "query", (F.col("query") % n).alias("vec_id")).join(v.withColumnRenamed("vec", "qvec"), "vec_id").drop("vec_id")
+    return _shown(bm25.search(docs, q, SearchParams(hybrid_alpha=0.3), (dv, qv)))
 
 
 def _pool(spark: SparkSession, d: str, n: int) -> DataFrame:
@@ -185,9 +182,14 @@ def session_rerank(spark: SparkSession, d: str) -> DataFrame:
     return rank.session(pool, seen).select("query", "doc", "score", "rank")
 
 
+#: Documents of one file where sections of files are asked for.
+SECTIONS = 64
+
+
 def sibling_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    """Up to four other sections of the files shown in the three best, from the twelve results that follow."""
-    return rank.siblings(_pool(spark, d, 15), shown=3).select("query", "doc", "source_ref", "place")
+    """Up to four other sections of the files shown in the three best, from the twelve results that follow; ``SECTIONS`` documents make a file."""
+    ref = F.concat(F.lit("f"), F.floor(F.col("doc") / SECTIONS).cast("string"), F.lit(".md#s"), (F.col("doc") % SECTIONS).cast("string"))
+    return rank.siblings(_pool(spark, d, 15).withColumn("source_ref", ref), shown=3).select("query", "doc", "source_ref", "place")
 
 
 def tag_suggestions(spark: SparkSession, d: str) -> DataFrame:
@@ -227,10 +229,10 @@ h as (select query, ws, list_sort(list_distinct(list_filter(list_transform(ws, l
   len(list_filter(ws, lambda t: {T.sql_identifier_shape('t')})) ids from w)
 select query, array_to_string(hits[:4], ', ') hits from h where len(ws) >= 3 and ids = 0 and n >= 2""",
     "identifier_tokens": f"select distinct token from (select unnest(string_split_regex(url, '[:?&=]+')) token from pages union all select unnest(string_split_regex(text, '\\s+')) from documents) where token <> '' and {T.sql_identifier_shape('token')}",
-    "cosine_topk": f"select query, doc, score, rank from (select *, row_number() over (partition by query order by score desc, doc) rank from (select q.vec_id query, v.vec_id doc, round({_DOT.format(a='q.embedding', b='v.embedding')}, 4) score from embeddings q, embeddings v where q.vec_id < 20)) where rank <= 10",
+    "cosine_topk": f"select query, doc, score, rank from (select *, row_number() over (partition by query order by score desc, doc) rank from (select q.vec_id query, v.vec_id doc, round({_DOT.format(a='q.embedding', b='v.embedding')}, 4) score from embeddings q, embeddings v where q.vec_id % 20 = 0)) where rank <= 10",
     "minmax_norm": "select query, doc, round(case when hi <= lo then 0.5 else (x - lo) / (hi - lo) end, 6) norm from (select label query, vec_id doc, embedding[1]::double x, min(embedding[1]::double) over (partition by label) lo, max(embedding[1]::double) over (partition by label) hi from embeddings)",
     "hybrid_fused_topk": f"""with {S.ENTRIES}, {S.QUERIES}, {sql_bm25('entries', 'queries', p=SearchParams(digits=12))},
-c as (select s.query, s.doc, s.pos, s.score bm, {_DOT.format(a='qv.embedding', b='dv.embedding')} co from scored s join embeddings qv on qv.vec_id = s.query % 500 join embeddings dv on dv.vec_id = s.doc % 500),
+c as (select s.query, s.doc, s.pos, s.score bm, {_DOT.format(a='qv.embedding', b='dv.embedding')} co from scored s join embeddings qv on qv.vec_id = s.query % (select count(*) from embeddings) join embeddings dv on dv.vec_id = s.doc % (select count(*) from embeddings)),
 m as (select *, min(bm) over w b0, max(bm) over w b1, min(co) over w c0, max(co) over w c1 from c window w as (partition by query)),
 f as (select query, doc, pos, round(0.7::double * (case when b1 <= b0 then 0.5 else (bm - b0) / (b1 - b0) end) + 0.3::double * (case when c1 <= c0 then 0.5 else (co - c0) / (c1 - c0) end), 4) score from m)
 select query, doc, score, rank from (select *, row_number() over (partition by query order by score desc, pos) rank from f) where rank <= 10""",
@@ -242,8 +244,8 @@ select query, doc, score, r as rank from (select *, row_number() over (partition
 a as (select p.*, exists (select 1 from seen s where s.query = p.query and s.source_ref = p.source_ref) was, exists (select 1 from seen s where s.query = p.query and {refs.sql_file_of('s.source_ref')} = {refs.sql_file_of('p.source_ref')}) near from pool15 p),
 b as (select query, doc, rank, case when score > 0 and was then score * 0.3::double when score > 0 and near then score * 1.5::double else score end s from a)
 select query, doc, round(s, 6) score, row_number() over (partition by query order by round(s, 6) desc, rank) rank from b""",
-    "sibling_suggestions": f"""with {_RANKED_FIELDS}, shown as (select query, {_FILE} f, source_ref from pool15 where rank <= 3),
-c as (select p.query, p.doc, p.source_ref, row_number() over (partition by p.query order by p.rank) place from pool15 p where rank > 3 and exists (select 1 from shown s where s.query = p.query and s.f = {refs.sql_file_of('p.source_ref')}))
+    "sibling_suggestions": f"""with {_RANKED_FIELDS}, p as (select query, doc, rank, 'f' || (doc // {SECTIONS}) f, 'f' || (doc // {SECTIONS}) || '.md#s' || (doc % {SECTIONS}) source_ref from pool15),
+c as (select query, doc, source_ref, row_number() over (partition by query order by rank) place from p where rank > 3 and exists (select 1 from p s where s.query = p.query and s.rank <= 3 and s.f = p.f))
 select * from c where place <= 4""",
     "tag_suggestions": f"""with {_RANKED_FIELDS}, shown as (select query, unnest(tags) tag from pool15 where rank <= 3),
 t as (select query, tag, count(*) n from (select query, unnest(tags) tag from pool15 where rank > 3) where length(tag) between 3 and 30 and tag not in ({T.quoted(rank.NOISE_TAGS)}) group by all),
