@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loresift.plans import activity, evaluation, maintenance, parsing, search
+from loresift.plans import activity, coverage, evaluation, maintenance, parsing, search
 
-_PLANS = (search, evaluation, maintenance, activity, parsing)
+_PLANS = (search, evaluation, maintenance, activity, parsing, coverage)
 
 
 def _wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

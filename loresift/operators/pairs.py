@@ -27,12 +27,14 @@ def asked_tag(command: Column) -> Column:
     return F.nullif(F.regexp_extract(command, "--tag\\s+(\\S+)", 1), F.lit(""))
 
 
-def normalised(path: Column, folds: int = 4) -> Column:
-    """A path without ``.``, doubled slashes and up to ``folds`` nested ``..``."""
-    path = F.regexp_replace(F.regexp_replace(path, "/(\\./)+", "/"), "/+", "/")
-    for _ in range(folds):
-        path = F.regexp_replace(path, "/(?!\\.\\./)[^/]+/\\.\\.(?=/|$)", "")
-    return F.when(path == "", "/").otherwise(F.regexp_replace(path, "(?<=.)/\\.?$", ""))
+def normalised(path: Column) -> Column:
+    """A path without ``.``, doubled slashes and any number of ``..``, which go no higher than its start."""
+
+    def step(kept: Column, part: Column) -> Column:
+        return F.when(part.isin("", "."), kept).when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(F.startswith(path, F.lit("/")), F.lit("/")).otherwise(""), F.array_join(parts, "/"))
 
 
 def working_folder(command: Column, base: Column) -> Column:
@@ -59,7 +61,7 @@ def output_refs(text: Column) -> Column:
     return F.filter(F.array_union(marked, F.transform(quoted, plain)), lambda p: p != "")
 
 
-def extract(events: DataFrame, name: str = COMMAND, window: int = WINDOW, cwd: str | None = None, has_output: bool = True) -> DataFrame:
+def extract(events: DataFrame, name: str = COMMAND, window: int = WINDOW, cwd: str | None = None, has_output: bool = True, tag: str | None = None) -> DataFrame:
     """Pairs ``(run_id, query, cwd, turn, gold_files, window_size, tag, followed, followed_soft, n_output_refs)``.
 
     A query counts once in a run, where it first stands in the wanted folder; only then short ones and
@@ -82,6 +84,7 @@ def extract(events: DataFrame, name: str = COMMAND, window: int = WINDOW, cwd: s
     pairs = calls.withColumn("k", first).where("k = 1").where(F.length("query") >= SHORTEST)
     gold = F.array_sort(F.array_distinct(F.array_compact(F.transform("ahead", lambda p: relative(p, F.col("folder"))))))
     pairs = pairs.withColumn("gold_files", gold).where(F.size("gold_files") > 0)
+    pairs = pairs.where(asked_tag(F.col("command")) == tag) if tag else pairs
     text = F.coalesce("result", F.lit("")) if has_output and "result" in events.columns else F.lit(None).cast("string")
     refs = output_refs(text)
     hit = F.arrays_overlap("gold_files", refs)

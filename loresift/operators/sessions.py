@@ -45,6 +45,13 @@ def seen_before(events: DataFrame, key: str, order: list[str], item: str) -> Dat
     return e.withColumn("n_seen", F.coalesce(F.sum(F.col("_first").cast("long")).over(w), F.lit(0))).withColumn("again", ~F.col("_first")).drop("_first")
 
 
+def seen_lists(events: DataFrame, key: str, order: list[str], item: str) -> DataFrame:
+    """Events with ``seen``: the distinct items that came before in their group, in the order they first came."""
+    first = F.row_number().over(Window.partitionBy(key, item).orderBy(*order)) == 1
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("_new", F.when(first, F.col(item))).withColumn("seen", F.collect_list("_new").over(w)).drop("_new")
+
+
 def tool_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Calls with the last result of their id, if there is any."""
     last = results.groupBy("tool_use_id").agg(F.max_by("content", "seq").alias("result"))

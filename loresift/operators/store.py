@@ -64,6 +64,23 @@ def verify(entries: DataFrame, files: DataFrame) -> DataFrame:
     return live(entries).join(f, "source_ref", "left").select("id", status.alias("status"))
 
 
+def verify_following(entries: DataFrame, files: DataFrame, renames: Sequence[tuple[str, str]]) -> DataFrame:
+    """``verify`` that looks for missing files where they went: ``(id, status, new_ref)``.
+
+    An entry whose file moved with the same content is ``renamed`` and has its new reference; if the content
+    changed too it is ``drifted``, with the new reference as a hint.  Sections move with their files.
+    """
+    spark, base = entries.sparkSession, verify(entries, files)
+    gone = live(entries).join(base.where("status = 'missing'").select("id"), "id", "left_semi").select("id", "source_ref", "source_hash")
+    paths = [r["p"] for r in gone.select(file_of(F.col("source_ref")).alias("p")).distinct().collect()] if renames else []  # as many as files went missing
+    moved = spark.createDataFrame(sorted(resolve_renames(paths, renames).items()), "_was string, _at string")
+    to = F.concat("_at", F.substring(F.col("source_ref"), F.length("_was") + 1, F.length("source_ref")))
+    there = gone.join(moved, file_of(F.col("source_ref")) == F.col("_was")).withColumn("new_ref", to)
+    there = there.join(files.select(F.col("path").alias("new_ref"), F.col("hash").alias("_now")), "new_ref")
+    there = there.select("id", "new_ref", F.when(F.col("_now") == F.col("source_hash"), "renamed").otherwise("drifted").alias("_status"))
+    return base.join(there, "id", "left").select("id", F.coalesce("_status", "status").alias("status"), "new_ref")
+
+
 def review_flags(entries: DataFrame, known_refs: DataFrame, now: str, days: int = STALE_DAYS) -> DataFrame:
     """``(id, drifted, missing_source, stale)`` of live entries that have any of the flags; ``known_refs(source_ref)`` exist."""
     here = known_refs.select("source_ref", F.lit(True).alias("_here")).distinct()

@@ -99,17 +99,8 @@ def stream_compaction(spark: SparkSession, d: str) -> DataFrame:
     out = _folder(spark)
     op = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("modified")
     changes = _stream(spark, d).select(F.struct("ts", "event_id").alias("seq"), F.col("user_id").alias("path"), op.alias("op"))
-    versions: list[str] = []
-
-    def apply(batch: DataFrame, n: int) -> None:
-        now = batch.select("path", "seq", "op")
-        if versions:
-            now = now.unionByName(batch.sparkSession.read.parquet(versions[-1]))
-        now.groupBy("path").agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq")).write.mode("overwrite").parquet(f"{out}/v{n}")
-        versions.append(f"{out}/v{n}")
-
-    streams.watch(changes, apply, f"{out}/state").awaitTermination()
-    return spark.read.parquet(versions[-1]).select("path", "op")
+    streams.watch(changes, streams.keep_last(out), f"{out}/state").awaitTermination()
+    return streams.kept_last(spark, out).select("path", "op")
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:

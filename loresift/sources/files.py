@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loresift.functions.refs import size_label, stable_id
 from loresift.sources import parsers as P
+from loresift.sources.config import ParserOverrides
 
 # Folders that are never indexed, files worth an entry of their own, and names of extensions.
 SKIP = (".git", ".venv", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".idea", ".vscode", "dist", "build", ".next")
@@ -90,6 +91,15 @@ def read_tree(spark: SparkSession, root: str, rules: Sequence[str] = (), scope:
     return rows.select("path", ext.alias("ext"), "size", folder.alias("directory"), "mtime", F.sha2("content", 256).alias("hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+def file_state(path: str | Path) -> dict[str, object]:
+    """Whether a file is there, its size and when it was changed."""
+    try:
+        s = Path(path).stat()
+    except OSError:
+        return {"exists": False, "size": 0, "mtime": None}
+    return {"exists": True, "size": s.st_size, "mtime": s.st_mtime}
+
+
 def ignore_rules(root: str) -> list[str]:
     p = Path(root) / ".gitignore"
     return p.read_text(encoding="utf-8", errors="replace").splitlines() if p.exists() else []
@@ -130,11 +140,11 @@ def renames(root: str) -> list[tuple[str, str]]:
 _ENTRY = "source_ref string, kind_tag string, text string, tags array<string>, source_hash string"
 
 
-def _content_entries(path: str, content: str, raw_hash: str, directory: str) -> Iterator[tuple]:
+def _content_entries(path: str, content: str, raw_hash: str, directory: str, disabled: frozenset[str] = frozenset()) -> Iterator[tuple]:
     """A file's entry, or for a long structured document an overview and one entry for each section."""
     import hashlib
 
-    found = P.analyze(path, content)
+    found = P.analyze(path, content, disabled=disabled)
     if not found:
         return
     base = ["index", "content", P.extension(path), *sorted(found.tags)]
@@ -155,13 +165,13 @@ def _content_entries(path: str, content: str, raw_hash: str, directory: str) ->
     yield path, "content", text, base, raw_hash
 
 
-def content_entries(tree: DataFrame) -> DataFrame:
-    """Entries of all files that a parser understands."""
+def content_entries(tree: DataFrame, disabled: frozenset[str] = frozenset()) -> DataFrame:
+    """Entries of all files that a parser understands, but for those of ``disabled`` extensions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
         for b in batches:
-            rows = [r for p, c, h, d in zip(*(x.to_pylist() for x in b.columns), strict=True) if c for r in _content_entries(p, c, h, d)]
+            rows = [r for p, c, h, d in zip(*(x.to_pylist() for x in b.columns), strict=True) if c for r in _content_entries(p, c, h, d, disabled)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in _ENTRY.split(", ")])
 
@@ -182,11 +192,11 @@ def directory_entries(tree: DataFrame, labels: Mapping[str, str] = LABELS, key_f
     return whole.select(F.col("directory").alias("source_ref"), F.lit("directory").alias("kind_tag"), text.alias("text"), F.array(F.lit("index"), F.lit("directory")).alias("tags"), F.sha2(F.array_join("lines.line", ""), 256).alias("source_hash"))
 
 
-def key_file_entries(tree: DataFrame, key_files: Mapping[str, str] = KEY_FILES) -> DataFrame:
+def key_file_entries(tree: DataFrame, key_files: Mapping[str, str] = KEY_FILES, disabled: frozenset[str] = frozenset()) -> DataFrame:
     """An entry for each key file that no parser reads."""
     table = F.create_map(*[x for k, v in key_files.items() for x in (F.lit(k), F.lit(v))])
     name = F.substring_index("path", "/", -1)
-    rows = tree.where(name.isin(*key_files) & ~F.col("ext").isin(*P.PARSERS))
+    rows = tree.where(name.isin(*key_files) & ~F.col("ext").isin(*[x for x in P.PARSERS if x not in disabled]))
     return rows.select(F.col("path").alias("source_ref"), F.lit("key-file").alias("kind_tag"), F.concat(F.lit("Key file `"), "path", F.lit("` — "), F.element_at(table, name)).alias("text"), F.array(F.lit("index"), F.lit("key-file")).alias("tags"), F.col("hash").alias("source_hash"))
 
 
@@ -194,9 +204,14 @@ def key_file_entries(tree: DataFrame, key_files: Mapping[str, str] = KEY_FILES)
 SUMMARY_REF = ".#summary"
 
 
-def build_entries(tree: DataFrame, now: str, commit: str | None = None, summary: bool = True) -> DataFrame:
-    """All index entries of a tree, with stable identifiers; ``store.carry_provenance`` keeps what didn't change."""
-    rows = directory_entries(tree).unionByName(key_file_entries(tree)).unionByName(content_entries(tree))
+def build_entries(tree: DataFrame, now: str, commit: str | None = None, summary: bool = True, overrides: ParserOverrides | None = None) -> DataFrame:
+    """All index entries of a tree, with stable identifiers; ``store.carry_provenance`` keeps what didn't change.
+
+    ``overrides`` disable parsers and add key files and names of extensions.
+    """
+    o = overrides or ParserOverrides()
+    labels, key_files = {**LABELS, **o.labels}, {**KEY_FILES, **o.key_files}
+    rows = directory_entries(tree, labels, key_files).unionByName(key_file_entries(tree, key_files, o.disabled)).unionByName(content_entries(tree, o.disabled))
     if summary:
         total = tree.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("directory").alias("d"))
         text = F.concat(F.lit("Repository with "), F.col("n").cast("string"), F.lit(" files in "), F.col("d").cast("string"), F.lit(" directories."))
@@ -215,13 +230,13 @@ def affected(tree: DataFrame, paths: DataFrame) -> DataFrame:
     return tree.join(paths.select(folder.alias("directory")).distinct(), "directory", "left_semi")
 
 
-def reindexed(store: DataFrame, tree: DataFrame, changes: DataFrame, now: str, commit: str | None = None) -> DataFrame:
+def reindexed(store: DataFrame, tree: DataFrame, changes: DataFrame, now: str, commit: str | None = None, overrides: ParserOverrides | None = None) -> DataFrame:
     """The store after ``changes(status, path)``: entries of changed and deleted files go with all of their sections, folders are summed up anew."""
     from loresift.functions.refs import file_of
     from loresift.operators.store import carry_provenance
 
     near = affected(tree, changes)
-    new = carry_provenance(build_entries(near, now, commit, summary=False), store)
+    new = carry_provenance(build_entries(near, now, commit, summary=False, overrides=overrides), store)
     touched = changes.select(F.col("path").alias("_file")).union(near.select("directory")).union(changes.select(F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("."))).union(near.select("path")).distinct()
     is_index = F.col("source") == "index"
     gone = store.where(is_index & (F.col("source_ref") != SUMMARY_REF)).join(touched, file_of(F.col("source_ref")) == F.col("_file"), "left_semi").select("id").distinct()

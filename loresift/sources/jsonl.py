@@ -7,6 +7,7 @@ import os
 import secrets
 import time
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,6 +102,15 @@ def create_entry(spark: SparkSession, text: str, tags: list[str] | None = None,
     return spark.createDataFrame([tuple(row[f.name] for f in S.STORED.fields)], S.STORED)
 
 
+def discovered(folder: str, runs: list[str] | None = None, days: float | None = None, now: float | None = None) -> list[str]:
+    """Log files ``*.jsonl`` below ``folder`` by name: those of the named runs, or those changed in the last ``days``, or all."""
+    found = sorted(p for p in Path(folder).rglob("*.jsonl") if p.is_file()) if Path(folder).is_dir() else []
+    if runs is not None:
+        return [str(p) for p in found if p.stem in set(runs)]
+    least = 0.0 if days is None else (time.time() if now is None else now) - 86_400 * days
+    return [str(p) for p in found if p.stat().st_mtime >= least]
+
+
 def read_events(spark: SparkSession, paths: str | list[str], since: str | None = None) -> DataFrame:
     """Event logs: one run for each file, events in order; ``since`` leaves out files that are older."""
     reader = spark.read

@@ -150,20 +150,27 @@ def markdown_summary(blocks: list[Block]) -> str:
 
 
 def markdown_tags(path: str, blocks: list[Block]) -> set[str]:
-    *folders, name = path.lower().split("/")
-    tags = {"doc", *filter(None, folders)}
-    if m := re.match(r"adr-\d+", name.rsplit(".", 1)[0]):
-        tags |= {"adr", m[0]}
-    for b in blocks:
-        if b.kind == "title":
-            tags |= {t for t in re.split(r"[\s/_:.-]+", b.name.lower()) if len(t) > 2 and t.isalnum()}
-        elif b.kind == "section":
-            s = re.sub(r"[^\w-]", "", re.sub(r"[\s/_]+", "-", b.name.lower()).strip("-"))
-            tags |= {s} if 2 < len(s) <= 30 else set()
-        elif b.kind == "status" and b.name.split():
-            word = b.name.lower().split()[0].strip(".,;:!?")
-            tags |= ({word} | ({"in-progress"} if word == "in" else set())) if word in STATUS_TAGS else set()
-    return tags
+    parts = path.lower().split("/")
+    record = re.match(r"adr-\d+", parts[-1].rsplit(".", 1)[0])
+    found = [tag for b in blocks for tag in _MD_TAGS.get(b.kind, lambda name: ())(b.name.lower())]
+    return {"doc", *filter(None, parts[:-1]), *(("adr", record[0]) if record else ()), *found}
+
+
+def _title_tags(name: str) -> list[str]:
+    return [t for t in re.split(r"[\s/_:.-]+", name) if len(t) > 2 and t.isalnum()]
+
+
+def _section_tags(name: str) -> list[str]:
+    slugged = re.sub(r"[^\w-]", "", "-".join(filter(None, re.split(r"[\s/_]+", name))).strip("-"))
+    return [slugged] if 2 < len(slugged) <= 30 else []
+
+
+def _status_tags(name: str) -> list[str]:
+    word = (name.split() or [""])[0].strip(".,;:!?")
+    return [] if word not in STATUS_TAGS else [word, "in-progress"] if word == "in" else [word]
+
+
+_MD_TAGS = {"title": _title_tags, "section": _section_tags, "status": _status_tags}
 
 
 # Python --------------------------------------------------------------------------------------------
@@ -477,19 +484,19 @@ def analyze(path: str, content: str, parsers: Mapping[str, Parser] = PARSERS, di
 SCHEMA = "path string, pos int, kind string, name string, labels array<string>, doc string"
 
 
-def _rows(path: str, content: str) -> Iterator[tuple]:
-    found = analyze(path, content)
+def _rows(path: str, content: str, disabled: frozenset[str] = frozenset()) -> Iterator[tuple]:
+    found = analyze(path, content, disabled=disabled)
     for i, b in enumerate(found.blocks if found else ()):
         yield path, i, b.kind, b.name, list(b.labels), b.doc
 
 
-def blocks_of(files: DataFrame) -> DataFrame:
-    """``SCHEMA`` rows of ``files(path, content)``: one for each block, ``pos`` in order; null contents give none."""
+def blocks_of(files: DataFrame, disabled: frozenset[str] = frozenset()) -> DataFrame:
+    """``SCHEMA`` rows of ``files(path, content)``: one for each block, ``pos`` in order; null contents and ``disabled`` extensions give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
         for b in batches:
-            rows = [r for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if p and c for r in _rows(p, c)]
+            rows = [r for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if p and c for r in _rows(p, c, disabled)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 

@@ -35,6 +35,29 @@ def apply_changes(read: Callable[[], DataFrame], write: Callable[[DataFrame], No
     return run
 
 
+def keep_last(folder: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function over ``(path, seq, op)`` that keeps the last operation on every path as a table in ``folder``.
+
+    Batch ``n`` is written from the state that batch ``n - 1`` left, under its own number, so a restart goes on from there and
+    a repeated batch gives the same state again.
+    """
+
+    def run(batch: DataFrame, n: int) -> None:
+        now = batch.select("path", "seq", "op")
+        if n:
+            now = now.unionByName(batch.sparkSession.read.parquet(f"{folder}/v/n={n - 1}"))
+        now.groupBy("path").agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq")).write.mode("overwrite").parquet(f"{folder}/v/n={n}")
+
+    return run
+
+
+def kept_last(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest state that ``keep_last`` wrote."""
+    rows = spark.read.option("basePath", f"{folder}/v").parquet(f"{folder}/v")
+    last = rows.agg(F.max("n")).first()[0]
+    return rows.where(F.col("n") == last).drop("n")
+
+
 def watch(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Applies changes every so often, or once for all that is there."""
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
