@@ -3,12 +3,9 @@ from __future__ import annotations
 import io
 import json
 
-import pandas as pd
 import pytest
 
 from loresift import cli
-from loresift.operators import ask, bm25, vectors
-from loresift.sources import config, files, jsonl
 from loresift.streaming import streams, watching
 
 
@@ -17,34 +14,6 @@ def run(tmp_path, capsys):
     return lambda *a, **k: (cli.main(["--store", str(tmp_path / "store"), *a], **k), capsys.readouterr().out)
 
 
-def test_regression_run_record_and_drift(run, tmp_path):
-    run("init")
-    for text in ("Use postgres for storage", "Redis caches sessions", "Deploy with helm charts", "Alerts go to the on-call channel"):
-        run("remember", text, "--kind", "rule")
-    fixture = tmp_path / "store" / "testq.yaml"
-    fixture.write_text("- question: which storage\n  must_match: [{text_substring: POSTGRES}, {kind: rule}]\n- question: redis sessions\n  must_match: [{text_substring: helm-less}]\n  top_n: 1\n")
-    code, out = run("testq", "-v")
-    assert code == 1 and "PASS  which storage" in out and "FAIL  redis sessions" in out and "1/2 passed" in out
-    assert run("testq", "--diff")[0] == 1
-    assert "recorded" in run("testq", "--record", "first run!")[1]
-    assert run("testq", "--diff", "first run!") == (0, "2/2 unchanged, 0 drifted\n")
-    run("remember", "redis redis sessions sessions", "--kind", "rule")
-    code, out = run("testq", "--diff")
-    assert code == 1 and "1 dropped, 1 added" in out
-
-
-def test_sessions_are_carried_on(run, tmp_path):
-    for i in range(4):
-        run("remember", f"Note {i} about postgres tables", "--tag", f"topic{i}")
-    first = run("context", "postgres tables", "--session", "-n", "2")[1]
-    second = run("context", "postgres tables", "--session", "-n", "2")[1]
-    assert "new session" in first and "2 queries" in second and "nearby tags" in first
-    assert "postgres tables" in run("context", "--history")[1]
-    run("context", "--reset-session")
-    assert "No session" in run("context", "--history")[1]
-    assert ask.is_over(None, "2024-01-01T00:00:00") and ask.is_over({"queries": [{"ts": "2024-01-01T00:00:00"}]}, "2024-01-01T01:00:00") and not ask.is_over({"queries": [], "started_at": "2024-01-01T00:00:00"}, "2024-01-01T00:10:00")
-
-
 def test_hook_speaks_now_and_then(run, tmp_path, monkeypatch):
     run("remember", "Use postgres for the storage of sessions")
     log = tmp_path / "log.jsonl"
@@ -59,32 +28,6 @@ def test_hook_speaks_now_and_then(run, tmp_path, monkeypatch):
     assert run("hook", "inject") == (0, "")
 
 
-def embed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [1.0, 0.0] if "cat" in t else [0.0, 1.0])
-
-
-def broken(texts: pd.Series) -> pd.Series:
-    raise RuntimeError("no model")
-
-
-def test_fused_search_and_cache(spark, tmp_path):
-    docs = spark.createDataFrame([(0, i, i, t) for i, t in enumerate(["a cat sat", "dogs run", "birds sing", "more cat talk", "fish swim"])], "corpus int, doc int, pos int, text string")
-    q = spark.createDataFrame([(0, 0, "dogs and cat")], "corpus int, query int, text string")
-    cache = vectors.load(spark, str(tmp_path / "none"))
-    near = vectors.for_search(docs, q, cache, embed)
-    best = [r["doc"] for r in bm25.search(docs, q, bm25.SearchParams(top_n=5, hybrid_alpha=0.9), near).orderBy("rank").collect()]
-    assert set(best[:2]) == {0, 3} and sorted(best) == [0, 1, 2, 3, 4]
-    full = vectors.filled(docs.union(docs).select("text"), cache, embed)
-    vectors.save(full, str(tmp_path / "v"))
-    again = vectors.load(spark, str(tmp_path / "v"))
-    assert again.count() == 5 and vectors.load(spark, str(tmp_path / "v"), 3).count() == 0
-    assert vectors.looked_up(docs.select("text"), again).where("vec is null").count() == 0
-    with pytest.warns(UserWarning, match="embedder failed"):
-        assert vectors.for_search(docs, q, cache, broken) is None
-    with pytest.warns(UserWarning, match="no vectors"):
-        assert bm25.search(docs, q, bm25.SearchParams(hybrid_alpha=0.5)).count() == 5
-
-
 def test_watching_queues_and_applies(spark, tmp_path):
     tree, listed, seen = tmp_path / "tree", tmp_path / "list", []
     tree.mkdir()
@@ -121,33 +64,3 @@ def test_kept_state_survives_a_restart(spark, tmp_path):
     streams.keep_last(str(tmp_path))(rows(("a", 3, "deleted")), 1)
     streams.keep_last(str(tmp_path))(rows(("a", 3, "deleted")), 1)
     assert sorted((r["path"], r["op"]) for r in streams.kept_last(spark, str(tmp_path)).collect()) == [("a", "deleted"), ("b", "created")]
-
-
-def test_overrides_and_review(run, tmp_path):
-    src = tmp_path / "src"
-    src.mkdir()
-    (src / "m.tf").write_text('module "vpc" {}\n')
-    (src / "justfile").write_text("all:\n")
-    run("index", str(src))
-    assert "module vpc" in run("recall", "vpc module", "-n", "1")[1]
-    (src / "m.tf").unlink()
-    assert "missing_source" in run("review", str(src))[1] and '"missing_source": true' in run("review", str(src))[1]
-    (src / "m.tf").write_text('module "vpc" {}\n')
-    (tmp_path / "store" / "parsers.yaml").write_text("disabled_parsers: [tf]\nkey_files: {justfile: Command runner}\nextension_labels: {tf: Plans}\n")
-    run("index", str(src))
-    out = run("list")[1]
-    assert "module" not in out and "Command runner" in out and "Plans" in out
-    assert files.file_state(src / "none") == {"exists": False, "size": 0, "mtime": None} and files.file_state(src / "m.tf")["size"] == 16
-
-
-def test_evaluation_of_logs(run, tmp_path, spark):
-    run("remember", "The parser lives in src/a.py")
-    logs = tmp_path / "logs"
-    logs.mkdir()
-    rows = [{"event": "run_started", "cwd": "/r"}, {"event": "tool_called", "tool_name": "Bash", "tool_input": {"command": 'loresift context "where is the parser"'}, "cwd": "/r"}, {"event": "tool_called", "tool_name": "Read", "tool_input": {"file_path": "/r/src/a.py"}}]
-    (logs / "run1.jsonl").write_text("\n".join(map(json.dumps, rows)))
-    code, out = run("eval", str(logs), "--freeze", str(tmp_path / "pairs.json"))
-    assert code == 0 and "Pairs analyzed: 1" in out and "100.0% soft" in out
-    assert "hit_rate" in run("sweep", str(tmp_path / "pairs.json"), "--frozen", "--set", "b=0.5,0.85")[1]
-    assert run("eval", str(logs), "--run", "other")[0] == 1 and jsonl.discovered(str(logs), days=1.0) and not jsonl.discovered(str(logs), days=1.0, now=4e9)
-    assert config.load_state(tmp_path / "none") is None
