@@ -104,22 +104,23 @@ def matches(docs: DataFrame, queries: DataFrame, p: SearchParams = SearchParams(
 def ranked(docs: DataFrame, queries: DataFrame, scored: DataFrame, top_n: int, digits: int = 4, *keep: str) -> DataFrame:
     """The ``top_n`` documents of every query by rounded score, then ``pos``: ``(corpus, query, doc, pos, score, rank)``.
 
-    Documents without a score count as 0.  Only queries that have fewer than ``top_n`` positive ones need any of them: the first
-    ``2 * top_n`` of the corpus hold enough, unless a query has scores below 0, which is a matter of tiny corpora; for
-    such a query all documents are looked up.
+    Documents without a score count as 0.  The first ``2 * top_n`` of the corpus hold enough of them, unless a query has
+    scores below 0, which is a matter of tiny corpora; for a query that then lacks candidates all documents are looked up.
+    ``scored`` is evaluated once: what follows reads the exchange of ``found``.
     """
     place = docs.select("corpus", "doc", "pos", *keep)
-    scored = scored.withColumn("score", F.round("score", digits) + F.lit(0.0))
+    scored = scored.select("corpus", "query", "doc", (F.round("score", digits) + F.lit(0.0)).alias("score"))
+    heads = place.withColumn("_k", F.row_number().over(Window.partitionBy("corpus").orderBy("pos"))).where(F.col("_k") <= 2 * top_n)
+    asked = queries.select("corpus", "query").distinct()
+    unscored = lambda rows, of: rows.select("corpus", "doc").join(of, "corpus").select("corpus", "query", "doc", F.lit(None).cast("double").alias("score"))
+    found = scored.union(unscored(heads, asked)).groupBy("corpus", "query", "doc").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
+    sizes = found.groupBy("corpus", "query").agg(F.count_if(F.col("score") >= 0).alias("up"), F.count_if(F.col("score") < 0).alias("down"))
+    short = sizes.where((F.col("up") < top_n) & (F.col("down") > 0)).select("corpus", "query")
+    rest = unscored(place, short).na.fill(0.0, ["score"]).join(found.select("corpus", "query", "doc"), ["corpus", "query", "doc"], "left_anti")
     first = Window.partitionBy("corpus", "query").orderBy(F.desc("score"), "pos")
     columns = ["corpus", "query", "doc", "pos", "score", *keep]
-    best = scored.where("score > 0").join(place, ["corpus", "doc"]).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top_n).select(*columns)
-    sizes = scored.groupBy("corpus", "query").agg(F.count_if(F.col("score") > 0).alias("up"), F.count_if(F.col("score") <= 0).alias("down"))
-    short = queries.select("corpus", "query").distinct().join(sizes, ["corpus", "query"], "left").na.fill(0, ["up", "down"]).where(F.col("up") < top_n)
-    heads = place.withColumn("_k", F.row_number().over(Window.partitionBy("corpus").orderBy("pos"))).where(F.col("_k") <= 2 * top_n).drop("_k")
-    seen = scored.select("corpus", "query", "doc")
-    zero = heads.join(short.where("down = 0").select("corpus", "query"), "corpus").join(seen, ["corpus", "query", "doc"], "left_anti").withColumn("score", F.lit(0.0)).select(*columns)
-    low = place.join(short.where("down > 0").select("corpus", "query"), "corpus").join(scored, ["corpus", "query", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).where("score <= 0").select(*columns)
-    return best.union(zero).union(low).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top_n)
+    best = found.union(rest.select("corpus", "query", "doc", "score")).join(place, ["corpus", "doc"]).select(*columns)
+    return best.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top_n)
 
 
 def boosted(scored: DataFrame, docs: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:

@@ -154,22 +154,22 @@ def session(pool: DataFrame, seen: DataFrame) -> DataFrame:
 
 def siblings(pool: DataFrame, shown: int, seen: DataFrame | None = None) -> DataFrame:
     """Up to four other sections of shown files, from the twelve results after the shown ones, with their ``place``."""
-    files = pool.where(F.col("rank") <= shown).select("query", file_of(F.col("source_ref")).alias("_file")).where("_file <> ''").distinct()
-    rest = pool.where((F.col("rank") > shown) & (F.col("rank") <= shown + SUGGEST_FROM) & F.contains("source_ref", F.lit("#"))).withColumn("_file", file_of(F.col("source_ref")))
+    rows = pool.withColumn("_file", file_of(F.col("source_ref")))
+    rows = rows.withColumn("_near", F.min("rank").over(Window.partitionBy("query", "_file")) <= shown)
+    rest = rows.where(F.col("_near") & (F.col("_file") != "") & (F.col("rank") > shown) & (F.col("rank") <= shown + SUGGEST_FROM) & F.contains("source_ref", F.lit("#")))
     if seen is not None:
         rest = rest.join(seen.select("query", "source_ref").distinct(), ["query", "source_ref"], "left_anti")
-    rest = rest.join(files, ["query", "_file"], "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("query", "source_ref").orderBy("rank"))).where("_k = 1")
-    return rest.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("place") <= SUGGEST_SIBLINGS).drop("_file", "_k")
+    rest = rest.withColumn("_k", F.row_number().over(Window.partitionBy("query", "source_ref").orderBy("rank"))).where("_k = 1")
+    return rest.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("place") <= SUGGEST_SIBLINGS).drop("_file", "_near", "_k")
 
 
 def tag_suggestions(pool: DataFrame, shown: int, seen_tags: DataFrame | None = None) -> DataFrame:
     """The five most frequent tags among the twelve results after the shown ones that those don't have."""
-    had = pool.where(F.col("rank") <= shown).select("query", F.explode("tags").alias("tag")).select("query", F.lower("tag").alias("tag"))
+    tags = pool.where(F.col("rank") <= shown + SUGGEST_FROM).select("query", "rank", F.explode("tags").alias("tag")).withColumn("tag", F.lower("tag"))
+    n = tags.groupBy("query", "tag").agg(F.count_if(F.col("rank") > shown).alias("n"), F.count_if(F.col("rank") <= shown).alias("_had"))
+    n = n.where((F.col("n") > 0) & (F.col("_had") == 0) & F.length("tag").between(3, 30) & ~F.col("tag").isin(*NOISE_TAGS)).drop("_had")
     if seen_tags is not None:
-        had = had.union(seen_tags.select("query", "tag"))
-    rest = pool.where((F.col("rank") > shown) & (F.col("rank") <= shown + SUGGEST_FROM)).select("query", F.explode("tags").alias("tag")).select("query", F.lower("tag").alias("tag"))
-    rest = rest.where(F.length("tag").between(3, 30) & ~F.col("tag").isin(*NOISE_TAGS)).join(had.distinct(), ["query", "tag"], "left_anti")
-    n = rest.groupBy("query", "tag").agg(F.count(F.lit(1)).alias("n"))
+        n = n.join(seen_tags.select("query", "tag").distinct(), ["query", "tag"], "left_anti")
     return n.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "tag"))).where(F.col("place") <= SUGGEST_TAGS)
 
 
