@@ -128,3 +128,17 @@ def test_reranker_failure_keeps_the_ranking(spark):
 def test_low_signal(spark):
     q = spark.createDataFrame([(1, "please review the code changes"), (2, "review code of WafAlb"), (3, "fix bug"), (4, "deploy database cluster now")], "query long, text string")
     assert {r["query"]: r["hits"] for r in rank.low_signal(q).collect()} == {1: "changes, code, review"}
+
+
+def test_ranking_with_scores_below_zero_against_brute_force(spark):
+    """The first documents all score below 0, so the best unscored ones stand behind the corpus's head."""
+    docs = spark.createDataFrame([("c", i, i) for i in range(40)], "corpus string, doc long, pos long")
+    queries = spark.createDataFrame([("c", q) for q in (1, 2, 3)], "corpus string, query long")
+    scores = {1: {i: -1.0 - i for i in range(30)} | {35: 2.0}, 2: {7: 1.0, 3: 0.00001}, 3: {}}
+    scored = spark.createDataFrame([("c", q, d, s) for q, x in scores.items() for d, s in x.items()], "corpus string, query long, doc long, score double")
+    got = {(r["query"], r["rank"]): (r["doc"], r["score"]) for r in bm25.ranked(docs, queries, scored, 4).collect()}
+    want = {}
+    for q, x in scores.items():
+        for k, (s, d) in enumerate(sorted((-round(x.get(d, 0.0), 4), d) for d in range(40))[:4], 1):
+            want[q, k] = (d, -s)
+    assert got == want
