@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from loresift.functions import text as T
 from loresift.functions.refs import file_of
+from loresift.operators import blocks
 
 #: Punctuation cut off a query word, as the inside of a regular expression's brackets.
 EDGE_CLASS = ",.;:!?()\\[\\]{}\"'"
@@ -41,23 +46,77 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Query vectors that meet the documents at once.
-QUERY_BLOCK = 1 << 14
+#: Query vectors that meet the documents at once, and the queries of a tile of scores.
+QUERY_BLOCK, TILE = 1 << 14, 256
+
+
+def _vectors(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length the rows of an Arrow list column and their vectors; rows with a null in or for their vector under -1."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat, ends = column.flatten(), np.cumsum(lengths)
+    holes = np.r_[0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))]
+    whole = column.is_valid().to_numpy(zero_copy_only=False) & (holes[ends] == holes[ends - lengths])
+    size, flat = np.where(whole, lengths, -1), flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = {int(n): np.flatnonzero(size == n) for n in np.unique(size)}
+    return {n: (at, flat[(ends[at] - n)[:, None] + np.arange(n)] if n > 0 else np.zeros((len(at), 0))) for n, at in rows.items()}
+
+
+def _nearest_of(queries: pa.Table, top_n: int, digits: int):
+    """A function over batches ``(doc, pos, vec)`` that yields a task's own best documents of each query, kept from batch to batch.
+
+    A pair without an inner product (a null, or lengths that differ) counts as below all others here, and as null after.
+    """
+
+    def run(batches):
+        asked, held, docs = _vectors(queries.column("qvec").combine_chunks()), None, None
+        for batch in batches:
+            found, pos, base = [] if held is None else [held], batch.column("pos").to_numpy(zero_copy_only=False), 0 if docs is None else len(docs)
+            there = _vectors(batch.column("vec"))
+            for n, (which, vectors) in asked.items():
+                rows, v = there.get(n, ([], None)) if n >= 0 else ([], None)
+                for k in range(0, len(which), TILE):
+                    q = vectors[k : k + TILE]
+                    raw = np.full((len(q), len(pos)), -np.inf)
+                    if len(rows):
+                        raw[:, rows] = q @ v.T
+                    i, j = blocks.candidates(raw, top_n, digits)
+                    x = raw[i, j]
+                    if len(rows):
+                        tie, at = np.flatnonzero(blocks.near_tie(x, digits)), np.searchsorted(rows, j)
+                        for t in np.array_split(tie, len(tie) // 65536 + 1):  # summed in order, as SQL does
+                            x[t] = np.add.accumulate(np.c_[np.zeros(len(t)), q[i[t]] * v[at[t]]], axis=1)[:, -1]
+                    x = blocks.half_up(x, digits)
+                    keep = blocks.best(i, x, pos[j], top_n)
+                    found.append((which[k + i[keep]], x[keep], pos[j[keep]], base + j[keep]))
+            if found:
+                q, x, p, place = (np.concatenate(c) for c in zip(*found, strict=True))
+                keep = blocks.best(q, x, p, top_n)
+                used, place = np.unique(place[keep], return_inverse=True)
+                held = q[keep], x[keep], p[keep], place
+                docs = (batch.column("doc") if docs is None else pa.concat_arrays([docs, batch.column("doc")])).take(pa.array(used))
+        if held is not None:
+            ids = queries.column("query").combine_chunks().take(pa.array(held[0]))
+            yield pa.RecordBatch.from_arrays([ids, docs.take(pa.array(held[3])), pa.array(held[2]), pa.array(held[1], mask=np.isneginf(held[1]))], names=["query", "doc", "pos", "score"])
+
+    return run
 
 
 def nearest(docs: DataFrame, queries: DataFrame, top_n: int, digits: int = 4) -> DataFrame:
     """The ``top_n`` documents ``(doc, pos, vec)`` by inner product for each of ``queries(query, qvec)``.
 
-    The stated query set meets all rows, ``QUERY_BLOCK`` queries at a time; each task keeps its own best before
-    anything is shuffled.
+    Every query meets all rows, ``QUERY_BLOCK`` queries at a time, in tiles of a matrix product; each task keeps its
+    own best before anything is shuffled.  Products that rounding could turn either way are summed in order.
     """
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    count = -(-queries.count() // QUERY_BLOCK)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "pos")
+    rows = docs.select("doc", F.col("pos").cast("long").alias("pos"), F.col("vec").cast("array<double>").alias("vec"))
+    schema = types.StructType([types.StructField("query", queries.schema["query"].dataType), *rows.schema.fields[:2], types.StructField("score", types.DoubleType())])
     out = None
-    for i in range(max(1, blocks)):
-        some = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
-        scored = docs.crossJoin(F.broadcast(some)).select("query", "doc", "pos", F.round(dot(F.col("qvec"), F.col("vec")), digits).alias("score"))  # about QUERY_BLOCK vectors
-        found = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n).select("query", "doc", "score", "rank")
+    for i in range(max(1, count)):
+        some = queries if count <= 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(count)) == i)
+        given = some.select("query", F.col("qvec").cast("array<double>").alias("qvec")).toArrow()  # about QUERY_BLOCK vectors
+        found = rows.mapInArrow(_nearest_of(given, top_n, digits), schema)
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n).select("query", "doc", "score", "rank")
         out = found if out is None else out.union(found)
     return out
 
