@@ -9,7 +9,7 @@ import time
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,6 +142,20 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return objects(spark.read.text(path), S.QUESTION, "question_id")
 
 
+def _told(turns: Column) -> Column:
+    """A session's whole turns in order, each after its role."""
+    whole = F.filter(turns, lambda t: t["role"].isNotNull() & t["content"].isNotNull())
+    return F.array_join(F.transform(whole, lambda t: F.concat(t["role"], F.lit(": "), t["content"])), "\n")
+
+
+def own_sessions(q: DataFrame) -> DataFrame:
+    """``q`` with ``ids`` and ``texts``, the names and texts of the sessions that ``question_corpus`` makes documents of."""
+    n = F.least(F.size("haystack_session_ids"), F.size("haystack_dates"), F.size("haystack_sessions"))
+    z = F.when(n > 0, F.slice(F.arrays_zip("haystack_session_ids", "haystack_dates", "haystack_sessions"), F.lit(1), n))
+    none = F.array().cast("array<string>")
+    return q.withColumn("_z", z).withColumns({"ids": F.coalesce("_z.haystack_session_ids", none), "texts": F.coalesce(F.transform("_z.haystack_sessions", _told), none)}).drop("_z")
+
+
 def question_corpus(q: DataFrame) -> DataFrame:
     """``(corpus, doc, pos, ref, session_id, text)``: every question's own sessions as documents.
 
@@ -150,9 +164,8 @@ def question_corpus(q: DataFrame) -> DataFrame:
     n = F.least(F.size("haystack_session_ids"), F.size("haystack_dates"), F.size("haystack_sessions"))
     z = F.slice(F.arrays_zip("haystack_session_ids", "haystack_dates", "haystack_sessions"), F.lit(1), n)
     rows = q.where(n > 0).select("question_id", F.posexplode(z).alias("pos", "s"))
-    turns = F.transform(F.filter("s.haystack_sessions", lambda t: t["role"].isNotNull() & t["content"].isNotNull()), lambda t: F.concat(t["role"], F.lit(": "), t["content"]))
     ref = F.concat(F.lit("session/"), "question_id", F.lit("/s"), F.lpad(F.col("pos").cast("string"), 3, "0"))
-    return rows.select(F.col("question_id").alias("corpus"), ref.alias("doc"), F.col("pos").cast("long").alias("pos"), F.col("s.haystack_session_ids").alias("session_id"), F.array_join(turns, "\n").alias("text"))
+    return rows.select(F.col("question_id").alias("corpus"), ref.alias("doc"), F.col("pos").cast("long").alias("pos"), F.col("s.haystack_session_ids").alias("session_id"), _told(F.col("s.haystack_sessions")).alias("text"))
 
 
 def freeze_pairs(pairs: DataFrame, path: str) -> None:

@@ -22,3 +22,27 @@ def test_questions_rank_their_own_sessions(spark, tmp_path):
     assert {(r["question_type"], r["k"]): r["recall_strict"] for r in benchmark.summary(judged, "question_type").collect()}["x", 3] == 1.0
     assert benchmark.summary(judged).where("k = 1").first()["recall_any"] == pytest.approx(0.5)
     assert benchmark.wide(judged).count() == 2
+
+
+def test_questions_are_ranked_as_by_search_and_without_an_exchange(spark, tmp_path):
+    import random
+
+    from loresift.operators import bm25
+    from loresift.operators.bm25 import SearchParams
+
+    g = random.Random(3)
+    words = ["alpha", "beta", "gamma", "running", "the", "été", "s3", "boxes", ""]
+    say = lambda n: " ".join(g.choice(words) for _ in range(n))
+    rows = []
+    for i in range(30):
+        n = g.randrange(0, 9)
+        sessions = [[{"role": "user", "content": say(g.randrange(0, 12))} for _ in range(g.randrange(0, 3))] for _ in range(n)]
+        rows.append({"question_id": f"q{i}", "question": say(4), "answer_session_ids": [f"s{i % 5}"], "haystack_session_ids": [f"s{j}" for j in range(n)], "haystack_dates": [""] * n, "haystack_sessions": sessions})
+    (tmp_path / "q.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    q, p = jsonl.questions(spark, str(tmp_path / "q.jsonl")).cache(), SearchParams(top_n=4)
+    corpus = jsonl.question_corpus(q).cache()
+    asked = q.selectExpr("question_id corpus", "question_id query", "question text")
+    best = bm25.search(corpus.select("corpus", "doc", "pos", "text"), asked, p).join(corpus.select("corpus", "doc", "session_id"), ["corpus", "doc"])
+    own = benchmark.ranked(q, p)
+    assert {(r["query"], i + 1, s) for r in own.collect() for i, s in enumerate(r["items"])} == {(r["query"], r["rank"], r["session_id"]) for r in best.collect()}
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
