@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from loresift.functions import text as T
 from loresift.functions.refs import file_of, size_label
+from loresift.operators import blocks
 
 STALE_DAYS, DUPLICATE = 30, 0.8
 
@@ -94,24 +98,68 @@ def review_flags(entries: DataFrame, known_refs: DataFrame, now: str, days: int
     return e.select("id", *[v.alias(k) for k, v in flags.items()]).where("drifted or missing_source or stale")
 
 
+#: 64-bit words of a set's sketch.
+SKETCH = 8
+
+
+def _sketch(hashes: Column) -> list[Column]:
+    """The parity of the hashes that fall on each of ``64 * SKETCH`` bits: two sketches differ in no more bits than their sets in members."""
+    own = lambda i: F.filter(hashes, lambda h: F.pmod(h, F.lit(SKETCH)) == i)
+    flip = lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int")))
+    return [F.aggregate(own(i), F.lit(0).cast("long"), flip).alias(f"s{i}") for i in range(SKETCH)]
+
+
+def _long_sketches(batches):
+    """Batches ``(doc, hs)`` as ``(doc, bits)``: parities on four to eight bits for each hash, a power of two of them, so that a longer sketch folds."""
+    for batch in batches:
+        n, flat = blocks.lengths(batch.column("hs")), batch.column("hs").flatten().to_numpy(zero_copy_only=False)
+        size = 64 << np.ceil(np.log2(np.maximum(1, n / 16))).astype(np.int64)
+        start = np.cumsum(size) - size
+        odd = np.bincount(np.repeat(start, n) + (flat & np.repeat(size - 1, n)), minlength=int(size.sum())) & 1
+        longs = pa.array(np.packbits(odd.astype(bool), bitorder="little").view("<i8"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size // 64)], pa.int32()), longs)], names=["doc", "bits"])
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """In how many bits two sketches of ``_long_sketches`` differ, the longer one folded; their sizes differ by a factor of two at most."""
+    size = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda x: F.when(F.size(x) <= size, x).otherwise(F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), xor))
+    return F.aggregate(F.zip_with(fold(a), fold(b), xor), F.lit(0), lambda s, x: s + F.bit_count(x))
+
+
 def near_duplicates(entries: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
     """``(a, b, jaccard)``, a < b: manual live entries whose word sets reach the threshold.
 
     Entries of equal sets meet once, through the least id of their class, which then stands in for them: ``a`` or ``b`` may be one, and
     copies are joined with their class's first.  Other pairs must share one of the rarest words that the
-    threshold leaves room to miss, so common words pair nothing.
+    threshold leaves room to miss, so common words pair nothing; there they leave at once if their sketches differ in more bits
+    than similar sets in words, and so do sketches as long as the sets need.  Words are hashes until then (equal hashes only add
+    candidates); only what is left meets its sets.
     """
+    blocks.small_batches(entries.sparkSession)
+    room_for = (1 - threshold) / (1 + threshold)  # members in which similar sets may differ, of all members
     e = live(entries).where("source = 'manual'").select("pos", F.sort_array(T.word_set(F.col("text"))).alias("ws")).where(F.size("ws") > 0)
-    classes = e.groupBy("ws").agg(F.min("pos").alias("a"))
-    copies = e.join(classes, "ws").where("pos <> a").select("a", F.col("pos").alias("b"), F.lit(1.0).alias("jaccard"))
-    sets = classes.select(F.col("a").alias("doc"), "ws", F.size("ws").alias("n"))
-    words = sets.select("doc", "n", F.explode("ws").alias("w"))
+    e = e.withColumn("key", F.sha2(F.array_join("ws", " "), 256))  # words have no spaces
+    copies = e.select("key", "pos").join(e.groupBy("key").agg(F.min("pos").alias("a")), "key").where("pos <> a").select("a", F.col("pos").alias("b"), F.lit(1.0).alias("jaccard"))
+    sets = e.groupBy("key").agg(F.min("pos").alias("doc"), F.first("ws").alias("ws")).select("doc", "ws")
+    hashed = sets.select("doc", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
+    words = hashed.select("doc", F.explode("hs").alias("w"))
     df = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ranks = words.join(df, "w").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("r"))
+    ranks = words.join(df, "w").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("r")).withColumn("n", F.size("r"))
     room = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    keys = ranks.select("doc", "n", F.explode(F.slice("r", 1, room)).alias("x")).where("x.df > 1").select("doc", "n", "x.w")
-    pairs = keys.select(F.col("doc").alias("a"), F.col("n").alias("na"), "w").join(keys.select(F.col("doc").alias("b"), F.col("n").alias("nb"), "w"), "w")
-    pairs = pairs.where("a < b").where((F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)).select("a", "b").distinct()
+    ranks = ranks.select("doc", "n", F.filter(F.slice("r", 1, room), lambda x: x["df"] > 1)["w"].alias("ks"), *_sketch(F.col("r.w"))).where(F.size("ks") > 0)
+    keys = ranks.select(F.explode("ks").alias("w"), F.struct("doc", "n", *[f"s{i}" for i in range(SKETCH)]).alias("x"))
+    left, right = keys.select("w", F.col("x").alias("l")), keys.select("w", F.col("x").alias("r"))
+    apart = sum((F.bit_count(F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    near = (F.col("l.n") >= threshold * F.col("r.n") - 1e-9) & (F.col("r.n") >= threshold * F.col("l.n") - 1e-9)
+    near = near & (apart <= (F.col("l.n") + F.col("r.n")) * room_for + 1e-6)
+    pairs = left.join(right, "w").where(F.col("l.doc") < F.col("r.doc")).where(near).select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"), (F.col("l.n") + F.col("r.n")).alias("n")).distinct()
+    if threshold > 0.5:  # else sizes differ by more than a fold
+        long = hashed.mapInArrow(_long_sketches, StructType([hashed.schema["doc"], StructField("bits", ArrayType(LongType()))]))
+        pairs = pairs.join(long.select(F.col("doc").alias("a"), F.col("bits").alias("sa")), "a").join(long.select(F.col("doc").alias("b"), F.col("bits").alias("sb")), "b")
+        pairs = pairs.where(_apart(F.col("sa"), F.col("sb")) <= F.col("n") * room_for + 1e-6)
+    pairs = pairs.select("a", "b")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("ws").alias("wa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("ws").alias("wb")), "b")
     same = F.size(F.array_intersect("wa", "wb")).cast("double")
     j = both.select("a", "b", (same / (F.size("wa") + F.size("wb") - same)).alias("jaccard")).where(F.col("jaccard") >= threshold)

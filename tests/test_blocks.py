@@ -35,3 +35,42 @@ def test_nearest_makes_no_row_for_each_pair(spark):
     df = spark.range(50).select(F.col("id").alias("doc"), F.col("id").alias("pos"), F.array(F.col("id").cast("double")).alias("vec"))
     plan = rank.nearest(df, df.select(F.col("doc").alias("query"), F.col("vec").alias("qvec")), 5)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.8])
+def test_near_duplicate_entries_against_brute_force(spark, threshold):
+    from loresift.operators import store
+
+    g = np.random.default_rng(2)
+    texts = {}
+    for i in range(120):
+        base = set(g.integers(0, 3000, int(g.choice([3, 12, 70, 400]))).tolist()) if i % 3 == 0 else set(texts[i - 1])
+        drop = set(g.permutation(sorted(base))[: int(g.integers(0, max(1, len(base) // 4)))].tolist())
+        texts[i] = (base - drop) | set(g.integers(3000, 3300, int(g.integers(0, 3))).tolist())
+    rows = [(i, " ".join(f"word{x}" for x in sorted(t))) for i, t in texts.items()] + [(120, ""), (121, None), (122, "of it")]
+    df = spark.createDataFrame(rows, "pos long, text string").withColumns({"source": F.lit("manual"), "deleted_at": F.lit(None).cast("string")})
+    sets, first = {i: frozenset(t) for i, t in texts.items() if t}, {}
+    want = set()
+    for i, t in sets.items():
+        if t in first:
+            want.add((first[t], i, 1.0))
+        else:
+            want |= {(a, i, round(len(s & t) / len(s | t), 6)) for s, a in first.items() if len(s & t) / len(s | t) >= threshold}
+            first[t] = i
+    got = [(r["a"], r["b"], round(r["jaccard"], 6)) for r in store.near_duplicates(df, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+
+
+def test_long_sketches_bound_the_difference(spark):
+    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+    from loresift.operators import store
+
+    g = np.random.default_rng(4)
+    base = g.integers(-(1 << 62), 1 << 62, 1100)
+    rows = [(0, base[:1000].tolist()), (1, base[:1100].tolist()), (2, g.integers(-(1 << 62), 1 << 62, 1000).tolist()), (3, base[:1030].tolist())]
+    df = spark.createDataFrame(rows, "doc long, hs array<long>")
+    s = df.mapInArrow(store._long_sketches, StructType([StructField("doc", LongType()), StructField("bits", ArrayType(LongType()))])).cache()
+    far = {(r["x"], r["y"]): r["d"] for r in s.toDF("x", "a").crossJoin(s.toDF("y", "b")).select("x", "y", store._apart(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert far[0, 0] == 0 and far[0, 1] == far[1, 0] and far[0, 1] <= 100 and far[0, 3] <= 30
+    assert far[0, 2] > 2000 / 9  # unlike sets of a thousand words leave as pairs of names, not with all their words
