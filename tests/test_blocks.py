@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +76,31 @@ def test_long_sketches_bound_the_difference(spark):
     far = {(r["x"], r["y"]): r["d"] for r in s.toDF("x", "a").crossJoin(s.toDF("y", "b")).select("x", "y", store._apart(F.col("a"), F.col("b")).alias("d")).collect()}
     assert far[0, 0] == 0 and far[0, 1] == far[1, 0] and far[0, 1] <= 100 and far[0, 3] <= 30
     assert far[0, 2] > 2000 / 9  # unlike sets of a thousand words leave as pairs of names, not with all their words
+
+
+@pytest.mark.parametrize("size", [1 << 12, 3])
+def test_search_of_many_queries_as_search(spark, monkeypatch, size):
+    from loresift.operators import bm25
+    from loresift.operators.bm25 import SearchParams
+
+    monkeypatch.setattr(bm25, "DOC_BLOCK", size)
+    monkeypatch.setattr(bm25, "MANY", size + 1)
+    g = np.random.default_rng(5)
+    words = ["alpha", "beta", "gamma", "running", "the", "été", "s3", "boxes", "delta"]
+    say = lambda n: " ".join(g.choice(words, n))
+    docs = [(i % 3, i, i, say(int(g.integers(0, 15))) if i % 10 else None) for i in range(60)] + [(7, 90, 90, "alpha")]
+    asked = [(i % 3, i, say(3)) for i in range(20)] + [(0, 30, "zzz"), (1, 31, None), (2, 32, "beta beta"), (8, 33, "alpha")]
+    d, q = spark.createDataFrame(docs, "corpus int, doc long, pos long, text string"), spark.createDataFrame(asked, "corpus int, query long, text string")
+    rows = lambda df: sorted((r["corpus"], r["query"], r["rank"], r["doc"], r["pos"], r["score"]) for r in df.collect())
+    got = rows(bm25.search_many(d, q, SearchParams(top_n=7)))
+    assert got == rows(bm25.search(d, q, SearchParams(top_n=7))) and len(got) > 100
+
+
+def test_many_queries_shuffle_no_scores_of_pairs(spark):
+    from loresift.operators import bm25
+
+    d = spark.range(40).selectExpr("0 corpus", "id doc", "id pos", "'alpha beta' text")
+    q = d.selectExpr("corpus", "doc query", "text")
+    by_pair = lambda f: re.search(r"Aggregate \[corpus#\d+, query#\d+L?, doc#\d+L?\]", f(d, q)._jdf.queryExecution().optimizedPlan().toString())
+    assert by_pair(bm25.search) and not by_pair(bm25.search_many)
+    assert bm25.search_many(d, q).count() == 400
