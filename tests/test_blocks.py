@@ -104,3 +104,19 @@ def test_many_queries_shuffle_no_scores_of_pairs(spark):
     by_pair = lambda f: re.search(r"Aggregate \[corpus#\d+, query#\d+L?, doc#\d+L?\]", f(d, q)._jdf.queryExecution().optimizedPlan().toString())
     assert by_pair(bm25.search) and not by_pair(bm25.search_many)
     assert bm25.search_many(d, q).count() == 400
+
+
+def test_near_duplicates_query_shuffles_no_texts_and_counts_labels_as_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = {5: "alpha beta gamma", 10: "beta gamma alpha", 15: "alpha beta gamma delta epsilon", 20: "delta alpha beta gamma epsilon", 25: "alpha beta gamma delta epsilon zeta"}
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, 1, 0), (10, 0, 0), (20, 1, 1), (25, 1, 1), (25, 0, 1)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df = entry.queries()["near_duplicates"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(entry.oracle_sql()["near_duplicates"]).fetchall())
+    assert "quality" not in df._jdf.queryExecution().executedPlan().toString()
