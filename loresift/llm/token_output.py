@@ -16,11 +16,12 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from loresift.llm import rangecoder
 from loresift.llm.common import need, session, shared_dir, small_batches
 
 END = 0
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers; beyond that it forgets those that it met in one call only.
 REMEMBERED = 1_200_000
 #: New words that are encoded in one call.
 TOGETHER = 4_096
@@ -47,7 +48,8 @@ class Encoder:
     """The tokenizers library behind a memory of words.
 
     Byte-level BPE never joins what stands before a single space with that space, unless other white space stands
-    next to it, so a text is cut before its single spaces, and each distinct piece is encoded once.  A text with a space
+    next to it, so a text is cut before its single spaces, and each distinct piece is encoded once; Arrow cuts the texts of
+    a call and tells the distinct pieces, and only those are looked up.  A text with a space
     beside any white space, U+00A0 and the like too, is encoded whole: one of its pieces is empty, or begins or
     ends with white space.  ``str.isspace`` has all that the tokenizer's own pattern takes for white space, and more.
     """
@@ -65,15 +67,33 @@ class Encoder:
         self.spaced = np.zeros(self.size, bool)
         for token, i in self.lib.get_vocab().items():
             self.spaced[i] = token.startswith("\u0120")
-        self._forget()
-
-    def _forget(self) -> None:
         self.known = _Numbered()
         self.ids = np.zeros(1 << 16, np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
-        self.odd = np.zeros(1 << 14, bool)
+        self.odd, self.again = np.zeros(1 << 14, bool), np.zeros(1 << 14, bool)
         self.used = self.n = 0
 
+    def _forget(self) -> None:
+        """Keeps the pieces that were met in a second call since the last time, if they aren't most of all."""
+        stay = np.flatnonzero(self.again[: self.n])
+        stay = stay if 2 * len(stay) <= self.n else stay[:0]
+        pieces = list(self.known)
+        self.known = _Numbered(zip([pieces[k] for k in stay.tolist()], range(len(stay)), strict=True))
+        where, n = self._places(stay)
+        self.used, self.n = len(where), len(stay)
+        self.ids[: self.used] = self.ids[where]
+        self.odd[: self.n] = self.odd[stay]
+        self.start[1 : self.n + 1] = np.cumsum(n)
+        self.again[:] = False
+
+    def _places(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the ids of the pieces are, how many each has)."""
+        lo = self.start[k]
+        n = self.start[k + 1] - lo
+        where = np.repeat(lo - np.cumsum(n) + n, n)
+        where += np.arange(len(where))
+        return where, n
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.ids.dtype)
 
@@ -96,50 +116,57 @@ class Encoder:
             while len(self.start) <= n:
                 self.start = np.concatenate((self.start, np.zeros_like(self.start)))
                 self.odd = np.concatenate((self.odd, np.zeros_like(self.odd)))
+                self.again = np.concatenate((self.again, np.zeros_like(self.again)))
             self.ids[self.used : used] = got
             self.start[self.n + 1 : n + 1] = self.used + np.cumsum(sizes)
             self.odd[self.n : n] = odd
             self.used, self.n = used, n
         self.known.new = []
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null texts are empty."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        heads, at = [], []
-        for t in texts:
-            if not t or not self.cuts or any(s in t for s in self.special):
-                heads.append(self._whole(t) if t else self.ids[:0])
-                at.append(_NO_PIECES)
-            else:
-                head, *rest = t.split(" ")
-                heads.append(head)
-                at.append(np.fromiter(map(self.known.__getitem__, rest), np.int64, len(rest)))
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = texts.fill_null("")
+        if not self.cuts:
+            return [self._whole(t) if t else self.ids[:0] for t in texts.to_pylist()]
+        cut = pc.split_pattern(texts, " ")
+        pieces, first = cut.flatten().dictionary_encode(), np.concatenate(([0], np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))))
+        words, index = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
+        heads = index[first[:-1]]
+        # what only begins texts is never met after a space
+        after = np.ones(len(index), bool)
+        after[first[:-1]] = False
+        inner = np.zeros(len(words), bool)
+        inner[index[after]] = True
+        number = np.zeros(len(words), np.int64)
+        number[inner] = k = np.fromiter(map(self.known.__getitem__, [w for w, x in zip(words, inner.tolist(), strict=True) if x]), np.int64, int(inner.sum()))
+        self.again[k[k < self.n]] = True
         if self.known.new:
             self._learn()
+        at, odd = number[index], (self.odd[number] & inner)[index]
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         out = []
-        for t, head, k in zip(texts, heads, at, strict=True):
-            if not isinstance(head, str):
-                out.append(head)
-            elif (head and head[-1].isspace()) or (len(k) and not head) or self.odd[k].any():
-                out.append(self._whole(t))
+        for i, (lo, hi, head) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), [words[k] for k in heads.tolist()], strict=True)):
+            if hi == lo + 1 and not head:
+                out.append(self.ids[:0])
+            elif special[i] or (head and head[-1].isspace()) or (hi > lo + 1 and not head) or odd[lo + 1 : hi].any():
+                out.append(self._whole(texts[i].as_py()))
             else:
-                lo = self.start[k]
-                n = self.start[k + 1] - lo
-                where = np.repeat(lo - np.cumsum(n) + n, n)
-                where += np.arange(len(where))
+                where, _ = self._places(at[lo + 1 : hi])
                 out.append(np.concatenate((self._whole(head) if head else self.ids[:0], self.ids[where])))
         return out
 
 
-_NO_PIECES = np.empty(0, np.int64)
-
-
 class _Numbered(dict):
     """Gives a key that it doesn't know the next number, and notes it in ``new``."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, known: Iterable[tuple[str, int]] = ()) -> None:
+        super().__init__(known)
         self.new: list[str] = []
 
     def __missing__(self, key: str) -> int:
@@ -184,7 +211,7 @@ def blocks(docs: DataFrame, tokenizer: str, partitions: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], _NAMES)
 
         for b in batches:
-            for i, got in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for i, got in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 got = np.append(got, enc.ids.dtype.type(END))
                 if held and held + len(got) > rangecoder.BLOCK_IDS:
                     yield row()

@@ -289,6 +289,21 @@ def test_encoder_is_the_library_beside_other_white_space():
     assert [x.tolist() for x in enc.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_keeps_what_it_met_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "REMEMBERED", 60)
+    lib = Tokenizer.from_file(token_output.default_tokenizer())
+    enc = token_output.Encoder(token_output.default_tokenizer())
+    learned = []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda: (learned.extend(enc.known.new), learn()))
+    for k in range(12):
+        texts = [f"the often met words {k}x{j} and  two\u00a0 spaces, {k}y{j}" for j in range(20)] + ["", None, "one", " <|endoftext|> x"]
+        assert [x.tolist() for x in enc.encode(texts)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert learned.count("often") == 1 and len(enc.known) <= 60 + 2 * 20 + 10
+
+
 def test_chat_collapse(spark):
     c = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "assistant", "x"), (4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, "user", "c"), (5, 3, "user", "q<|im_end|>"), (5, 3, "user", "q<|im_end|>"), (None, 0, "user", "lost"), (6, None, None, None)]
     c += [(7, i, "user", f"t{i}") for i in range(200)] + [(8, i, "user", f"t{i}") for i in range(199)]

@@ -130,6 +130,26 @@ def test_weights_of_a_lane_add_up():
         m.learn(sym, found == sym)
 
 
+def test_a_candidate_of_both_orders_has_one_weight():
+    m = rangecoder.Model(1000, 8)
+    for sym in [5, 7] * 20:
+        m.begin(False)
+        found, w, _ = m.look()
+        ids = np.full(8, sym)
+        m.learn(ids, found == ids)
+    m.begin(False)
+    found, w, _ = m.look()
+    assert (((found == 5) & (w > 0)).sum(axis=0) == 1).all() and (w[found == 5].max(initial=0) > 2048)
+
+
+@pytest.mark.parametrize("size", [50257, 1 << 17])
+def test_blocks_of_hard_ids_come_back(size):
+    """Carries through many words, the rarest ids in a row, long lanes."""
+    rng = np.random.default_rng(3)
+    for ids in (np.full(300_000, size - 1), np.r_[np.zeros(200_000, int), rng.integers(0, size, 100_000)], np.tile([0, size - 1, 1], 70_000), rng.integers(0, size, 1), rng.integers(0, 3, 257)):
+        assert (rangecoder.decode(rangecoder.encode(ids, size), size) == ids).all()
+
+
 def test_gradients_are_those_of_the_loss():
     lay = gru.Layout(6, 3, np.array([0, 2, 6]))
     p = {k: v.astype(np.float64) for k, v in gru.new_params(lay, np.array([5.0, 4, 3, 2, 1, 1]), np.array([2.0, 1, 1]), hidden=3, seed=1).items()}
